@@ -2,15 +2,107 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidgraph.llm import minhash
+from bidgraph.llm import decontam, langid, minhash, quality_classifier, quality_rules, secrets, sentencepiece_codec, toxicity, url_filter, warc
+from bidgraph.llm.text_stats import COUNTS
 from bidgraph.plans.tables import table
 
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_documents(docs, RANKS, PATTERN).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select(
+        "doc_id",
+        *[secrets.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.select("doc_id", sentencepiece_codec.encode_decode(F.col("text"), PIECES).alias("c")).select("doc_id", "c.*")
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write_archives(pages)
+    return warc.read_archives(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    judged = quality_rules.judge_documents(docs, labels).select("doc_id", "quality_rules.*")
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels, ~quality_classifier.held_out(F.col("id"), 4, 2))
+    scored = quality_classifier.score_documents(docs, model)
+    good = F.col("quality_score") >= quality_classifier.GOOD_FROM
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id"), 4, 2).alias("held_out"), F.col("quality_score").alias("score"), good.cast("int").alias("predicted"))
+
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op7_minhash": op7_minhash}
-ORACLE_SQL: dict[str, str] = {}
+def _fold(doc_id: Column) -> Column:
+    return quality_classifier.held_out(doc_id, 5, 0)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~_fold(F.col("doc_id"))))
+    found = langid.identify_documents(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", _fold(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.ambiguous")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return toxicity.judge_documents(docs, toxicity.fit(docs, labels)).select("doc_id", "toxicity.*")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    matched = decontam.match_documents(docs, items).select("doc_id", "benchmark_items")
+    return matched.select(
+        "doc_id",
+        (F.size("benchmark_items") > 0).alias("contaminated"),
+        F.col("benchmark_items.item_id").alias("item_ids"),
+        F.col("benchmark_items.distance").alias("distances"),
+    )
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_secrets": op2_secrets,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_warc": op4_warc,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_minhash": op7_minhash,
+    "op8_language_id": op8_language_id,
+    "op9_toxicity": op9_toxicity,
+    "op10_decontamination": op10_decontamination,
+}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE}
