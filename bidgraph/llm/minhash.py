@@ -135,12 +135,11 @@ def _confirm(width: int, percent: int):
     return confirm
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, estimated: bool) -> DataFrame:
-    """Those pairs (a, b) that are links: by signature unless that is done, then on full sets."""
-    if not estimated:
-        left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
-        right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
-        pairs = pairs.join(left, "a").join(right, "b").where(_estimate("sig_a", "sig_b") >= percent / 100 - SIGNATURE_SLACK).select("a", "b")
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) that are links: by signature and then on full sets."""
+    left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
+    right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
+    pairs = pairs.join(left, "a").join(right, "b").where(_estimate("sig_a", "sig_b") >= percent / 100 - SIGNATURE_SLACK).select("a", "b")
     pairs = materialize(pairs.distinct(), "pairs")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -149,22 +148,38 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     return links
 
 
-def _block_pairs(percent: int):
-    """Pairs of one block whose components differ and whose signatures agree well enough."""
+def _block_links(width: int, percent: int):
+    """Links of one block between members of different components.
+
+    A pair that shares several bands is compared in the first of them only, on signatures and then
+    on full sets.  Only links leave the block.
+    """
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates(["rep", "side"])
+        memo, found = _WordHash(), []
         one, other = block[block.side == 0], block[block.side == 1]
         if not len(other):
             other = one
-        sigs = np.frombuffer(b"".join(other.signature), np.uint8).reshape(len(other), -1)
-        roots, reps, found = other.root.to_numpy(), other.rep.to_numpy(), []
-        for rep, root, sig in zip(one.rep, one.root, one.signature):
-            apart = np.flatnonzero(roots != root)
-            if len(apart):
-                share = (sigs[apart] == np.frombuffer(sig, np.uint8)).mean(axis=1)
-                share = (share - 1 / 256) / (1 - 1 / 256)
-                found += [(min(rep, r), max(rep, r)) for r in reps[apart[share >= percent / 100 - SIGNATURE_SLACK]]]
+        if len(one):
+            sets = [shingle_hashes(t, width, memo) for t in other.text]
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            sigs = np.frombuffer(b"".join(other.signature), np.uint8).reshape(len(other), -1)
+            bands = np.vstack(other.bands.to_list())
+            roots, reps = other.root.to_numpy(), other.rep.to_numpy()
+        for rep, root, band, own, sig, text in one[["rep", "root", "band", "bands", "signature", "text"]].itertuples(index=False):
+            apart = roots != root
+            if other is one:
+                apart &= reps > rep
+            apart[apart] = ((sigs[apart] == np.frombuffer(sig, np.uint8)).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= percent / 100 - SIGNATURE_SLACK
+            apart[apart] = (bands[apart] == own).argmax(axis=1) == band
+            if apart.any():
+                mine = shingle_hashes(text, width, memo)
+                some = np.flatnonzero(apart[owner])
+                at = np.minimum(np.searchsorted(mine, values[some]), len(mine) - 1)
+                both = np.bincount(owner[some[mine[at] == values[some]]], minlength=len(reps))
+                linked = apart & (both > 0) & (100 * both >= percent * (sizes + len(mine) - both))
+                found += [(min(rep, r), max(rep, r)) for r in reps[linked]]
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
     return compare
@@ -178,11 +193,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = prints.where("n_shingles > 0 AND id IS NOT NULL")
     classes = materialize(some.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
 
-    member = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
+    member = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "band", F.xxhash64("band", "key").alias("bucket"))
     buckets = materialize(member.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("size > 1 AND first < last"), "buckets")
-    shared = materialize(member.join(buckets, "bucket").select("bucket", "rep", "first", "size"), "members")
+    shared = materialize(member.join(buckets, "bucket").select("bucket", "band", "rep", "first", "size"), "members")
     star = shared.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verified(star, classes, texts, width, percent, estimated=False)
+    links = _verified(star, classes, texts, width, percent)
 
     member_of = some.select("id", "set_id").join(classes.select("set_id", "rep"), "set_id").select("id", "rep")
     member_of = materialize(member_of.distinct(), "member_of")
@@ -191,22 +206,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = links.unionByName(repeated)
     roots = connected_components(edges)
 
-    placed = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("root", "rep").alias("root"))
+    placed = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "size", F.coalesce("root", "rep").alias("root"))
     placed = materialize(placed, "placed")
     unsettled = materialize(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high AND bucket IS NOT NULL").select("bucket"), "unsettled")
-    left = placed.where("size > 2").join(unsettled, "bucket").join(classes.select("rep", "signature"), "rep")
+    left = materialize(placed.where("size > 2").join(unsettled, "bucket"), "left")
+    needed = materialize(left.select(F.col("rep").alias("id")).distinct(), "needed")
+    held = materialize(texts.join(needed, "id").withColumnRenamed("id", "rep").join(classes.select("rep", "bands", "signature"), "rep"), "held")
+    left = left.join(held, "rep")
     # Block numbers come from a hash, so a bucket of any size is dealt to blocks without ranking it.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     left = left.withColumn("blocks", blocks).withColumn("own", own)
     dealt = left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "root", "signature")
-    rest = dealt.groupBy("bucket", "i", "j").applyInPandas(_block_pairs(percent), "a long, b long")
-    more = _verified(rest, classes, texts, width, percent, estimated=True)
-    if more.isEmpty():
-        final = roots
-    else:
-        final = connected_components(edges.unionByName(more))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "root", "band", "bands", "signature", "text")
+    more = materialize(dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links(width, percent), "a long, b long"), "more")
+    final = roots if more.isEmpty() else connected_components(edges.unionByName(more))
 
     by_id = member_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     by_id = materialize(by_id.groupBy("id").agg(F.min("root").alias("root")), "by_id")
