@@ -1,4 +1,11 @@
 """Registered queries and their SQL."""
 
+from __future__ import annotations
+
+from bidgraph.plans import risk_queries
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for module in (risk_queries,):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
