@@ -95,12 +95,13 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     total.clear()
                 total[lang] = np.zeros(2**BUCKET_BITS, np.int64)
             total[lang] += np.bincount(grams(text), minlength=2**BUCKET_BITS)
-    yield _rows(total)
+    if total:
+        yield _rows(total)
 
 
 def _rows(total: dict[str, np.ndarray]) -> pd.DataFrame:
     parts = [pd.DataFrame({"lang": lang, "gram": (k := np.flatnonzero(n)), "n": n[k]}) for lang, n in total.items()]
-    return pd.concat(parts) if parts else pd.DataFrame({"lang": [], "gram": [], "n": []})
+    return pd.concat(parts)
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> LanguageModel:
