@@ -131,7 +131,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): deterministic local moves by modularity gain; nodes of alternating hash halves move in turn."""
+    """(id, community): deterministic local moves by modularity gain; a half of the nodes, by a hash of id and turn, moves at a time."""
     links = materialize(both_ways(edges), "links")
     strength = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "strength")
     m2 = strength.agg(F.coalesce(F.sum("k"), F.lit(0.0)).alias("m")).first()["m"]
@@ -147,11 +147,11 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         others = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
         rated = rated.withColumn("gain", F.round(F.col("inside") - F.col("k") * others / m2, 9))
         best = rated.groupBy("src").agg(F.min(F.struct(-F.col("gain"), F.when(F.col("community") == F.col("own"), 0).otherwise(1), "community")).alias("b"))
-        moves = F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2
+        moves = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
         new = materialize(at.join(best, F.col("id") == F.col("src"), "left").select("id", F.col("community").alias("old"), F.when(moves, F.coalesce("b.community", "community")).otherwise(F.col("community")).alias("community")), "community")
         still = 0 if new.where("community <> old").limit(1).count() else still + 1
         at = new.select("id", "community")
-        if still == 2:
+        if still == 3:
             break
     return at
 
