@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bidgraph.plans import document_queries, model_queries, network_queries, portfolio_queries, risk_queries, stream_queries
+from bidgraph.plans import document_queries, model_queries, network_queries, portfolio_queries, risk_queries, stream_queries, view_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (risk_queries, portfolio_queries, network_queries, model_queries, document_queries, stream_queries):
+for module in (risk_queries, portfolio_queries, network_queries, model_queries, document_queries, view_queries, stream_queries):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -172,4 +172,7 @@ def with_tables(final: str) -> str:
 
     visit(final)
     parts = [f"{name} AS ({body.strip()})" for name, body in CTE.items() if name in used]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final.strip()
+    final = final.strip()
+    if final.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*parts, final.removeprefix("WITH RECURSIVE ")])
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final
