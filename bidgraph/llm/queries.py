@@ -105,4 +105,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE, "op7_minhash": minhash.ORACLE}
