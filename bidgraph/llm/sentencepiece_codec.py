@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-TABLE_CHUNKS = 500_000  # distinct chunks that a task's table holds besides those of the text at hand
+TABLE_CHUNKS = 250_000  # distinct chunks that a task's table holds besides those of the text at hand
 GROUP_CHARS = 1_000_000  # characters of texts that are handled together
 
 _RESULT = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
@@ -82,18 +82,22 @@ class Codec:
         self.chunks, self.prefix = chunk_pattern(proto), proto.normalizer_spec.add_dummy_prefix
         if self.chunks is not None:
             proto.normalizer_spec.add_dummy_prefix = False
-            self.table = ChunkTable(sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString()))
+            self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.begin, self.end = (_packed([k]) for k in (self.whole.bos_id(), self.whole.eos_id()))
 
-    def run(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
+    def new_table(self) -> ChunkTable | None:
+        return None if self.chunks is None else ChunkTable(self.plain)
+
+    def run(self, texts: list[str | None], table: ChunkTable | None = None) -> list[tuple[bytes, str]]:
         """Ids and decoded text of each text; the chunks of all of them enter the table together."""
         if self.chunks is None:
             found = [self.whole.encode(t or "", add_bos=True, add_eos=True) for t in texts]
             return [(_packed(ids), self.whole.decode(ids)) for ids in found]
         marked = [(t or "").replace(MARK, " ") for t in texts]
         parts = [self.chunks.findall(f" {t}" if self.prefix and t else t) for t in marked]
-        self.table.add(set().union(*parts))
-        get, out = self.table.__getitem__, []
+        table = self.new_table() if table is None else table
+        table.add(set().union(*parts))
+        get, out = table.__getitem__, []
         for chunks in parts:
             entries = list(map(get, chunks))
             decoded = "".join([e[1] for e in entries])
@@ -130,9 +134,10 @@ def encode_decode(text: Column, model: str) -> Column:
     @F.pandas_udf(_RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model)
+        table = own.new_table()  # freed with the task, as workers serve later stages too
         for texts in batches:
-            out = [r for group in _groups(texts) for r in own.run(group)]
-            yield pd.DataFrame(out, columns=["ids", "decoded"])
+            for group in _groups(texts):
+                yield pd.DataFrame(own.run(group, table), columns=["ids", "decoded"])
 
     return run(text)
 
