@@ -87,24 +87,27 @@ def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones together, replaced by ``mark``."""
-
-    @F.pandas_udf(T.StringType())
-    def redact(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for t, each in zip(texts, found):
-            if t is not None and each is not None and len(each):
-                parts, at = [], 0
-                for s in sorted(each, key=lambda s: s["start"]):
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], mark]
-                    at = max(at, s["end"])
-                t = "".join(parts) + t[at:]
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return F.when(F.size(spans) > 0, redact(text, spans)).otherwise(text)
+_REDACTED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_spans", T.IntegerType())])
+
+
+def redacted(text: Column, ranks: str, pattern: str, limit: float = MAX_CHARS_PER_TOKEN, mark: str = "[SECRET]") -> Column:
+    """(text, n_spans): every span, overlapping ones together, replaced by ``mark``.  A null text stays null."""
+
+    @F.pandas_udf(_REDACTED)
+    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tokens = encoding(ranks, pattern)
+        for texts in batches:
+            out = []
+            for t in texts:
+                spans, parts, at = find_spans(t, tokens, limit), [], 0
+                for _, start, end in spans:
+                    if start >= at:
+                        parts += [t[at:start], mark]
+                    at = max(at, end)
+                out.append(("".join(parts) + t[at:] if spans else t, len(spans)))
+            yield pd.DataFrame(out, columns=["text", "n_spans"])
+
+    return redact(text)
 
 
 def scan_documents(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", limit: float = MAX_CHARS_PER_TOKEN) -> DataFrame:
