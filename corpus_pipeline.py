@@ -58,10 +58,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace each secret in a text by a mark; n_chars follows the new text."""
-    name = _free("spans", docs)
-    found = docs.withColumn(name, secrets.secret_spans(F.col("text"), RANKS, PATTERN))
-    found = found.withColumn("text", secrets.redacted(F.col("text"), F.col(name)))
-    return found.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*_own(docs))
+    name = _free("redacted", docs)
+    found = docs.withColumn(name, secrets.redacted(F.col("text"), RANKS, PATTERN))
+    hit, text = F.col(f"{name}.n_spans") > 0, F.col(f"{name}.text")
+    changed = {"text": text, "n_chars": F.when(hit, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
+    return found.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
