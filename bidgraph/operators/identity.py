@@ -87,4 +87,5 @@ def summary(bids: DataFrame) -> DataFrame:
     per = identity_index(bids).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.size("aliases") > 1).alias("merged"))
     counts = per.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(n) for k, n in (("company", "companies"), ("person", "persons"), ("address", "addresses"), ("department", "departments"))], F.coalesce(F.sum(F.when(F.col("kind") == "company", F.col("merged"))), F.lit(0)).alias("merged_identities"), F.coalesce(F.sum(F.when(F.col("kind") == "address", F.col("merged"))), F.lit(0)).alias("address_spelling_clusters"))
     totals = bids.agg(F.count("*").alias("records"), F.count_distinct("tender_id").alias("tenders"), F.count("label").alias("labelled_rows"))
-    return totals.join(counts)  # one row each
+    one = F.lit(1).alias("one")
+    return totals.select(one, "*").join(counts.select(one, "*"), "one").drop("one")
