@@ -7,20 +7,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidgraph.llm import decontam, langid, minhash, quality_classifier, quality_rules, secrets, sentencepiece_codec, toxicity, url_filter, warc
-from bidgraph.llm.text_stats import COUNTS
+from bidgraph.llm.text_stats import COUNTS, small_batches
 from bidgraph.plans.tables import table
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     found = secrets.scan_documents(docs, RANKS, PATTERN).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s["kind"] != "random")
     return found.select(
@@ -32,7 +37,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
     coded = docs.select("doc_id", sentencepiece_codec.encode_decode(F.col("text"), PIECES).alias("c")).select("doc_id", "c.*")
     return coded.select(
         "doc_id",
@@ -43,19 +48,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     manifest = warc.write_archives(pages)
     return warc.read_archives(spark, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels")
     judged = quality_rules.judge_documents(docs, labels).select("doc_id", "quality_rules.*")
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", "anomaly")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality_classifier.fit(docs, labels, ~quality_classifier.held_out(F.col("id"), 4, 2))
     scored = quality_classifier.score_documents(docs, model)
     good = F.col("quality_score") >= quality_classifier.GOOD_FROM
@@ -63,7 +69,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return minhash.near_duplicates(_documents(spark, sf_dir), width=2, percent=80)
 
 
 def _fold(doc_id: Column) -> Column:
@@ -71,19 +77,19 @@ def _fold(doc_id: Column) -> Column:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~_fold(F.col("doc_id"))))
     found = langid.identify_documents(docs.select("doc_id", "text"), model)
     return found.select("doc_id", _fold(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score", "language.ambiguous")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "labels")
     return toxicity.judge_documents(docs, toxicity.fit(docs, labels)).select("doc_id", "toxicity.*")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    docs, items = _documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     matched = decontam.match_documents(docs, items).select("doc_id", "benchmark_items")
     return matched.select(
         "doc_id",

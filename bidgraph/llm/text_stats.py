@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,16 @@ _LETTERS, _PUNCT = string.ascii_letters.encode(), string.punctuation.encode()
 WINDOW = 5
 
 
+BATCH_ROWS = 1000  # texts that a Python task is handed at once
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in batches of at most BATCH_ROWS rows, so that a task's memory doesn't follow its partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words inside windows of five that stand in the text twice or more."""
     if len(words) <= WINDOW:
