@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bidgraph.llm import decontam, langid, minhash, secrets, sentencepiece_codec
 from bidgraph.llm.queries import PATTERN, PIECES, RANKS
+from bidgraph.llm.text_stats import small_batches
 from bidgraph.plans.storage import materialize
 from bidgraph.plans.tables import table
 
@@ -27,6 +28,7 @@ def _free(name: str, docs: DataFrame) -> str:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts and texts without a letter."""
+    small_batches(spark)
     model = langid.fit(docs)
     name = _free("language", docs)
     found = docs.withColumn(name, langid.identify(F.col("text"), model, spark))
@@ -35,6 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that shares 80 % of its five-word shingles."""
+    small_batches(spark)
     judged = minhash.near_duplicates(docs, width=5, percent=80)
     dropped, mark = _free("dropped", docs), _free("doc_id_", docs)
     gone = materialize(judged.where("NOT kept").select(F.col("doc_id").alias(mark)).distinct().withColumn(dropped, F.lit(True)), "dropped")
@@ -50,6 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    small_batches(spark)
     name = _free("benchmark_items", docs)
     blocks = decontam.load_items(table(spark, sf_dir, "benchmark"))
     found = docs.withColumn(name, decontam.contaminations(F.col("text"), blocks, spark))
@@ -58,6 +62,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace each secret in a text by a mark; n_chars follows the new text."""
+    small_batches(spark)
     name = _free("redacted", docs)
     found = docs.withColumn(name, secrets.redacted(F.col("text"), RANKS, PATTERN))
     hit, text = F.col(f"{name}.n_spans") > 0, F.col(f"{name}.text")
@@ -67,6 +72,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and what they decode to."""
+    small_batches(spark)
     coded = docs.select("doc_id", sentencepiece_codec.encode_decode(F.col("text"), PIECES).alias("c")).select("doc_id", "c.*")
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", *digests)
