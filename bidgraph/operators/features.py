@@ -90,7 +90,8 @@ def department_concentration(facts: DataFrame, dim: DataFrame) -> DataFrame:
 def company_features(resolved: DataFrame, facts: DataFrame, dim: DataFrame, pairs: DataFrame, settings, centrality: DataFrame | None = None, community: DataFrame | None = None) -> DataFrame:
     """The 27 features, nulls as 0, with ``solo_wins`` and ``document_peers`` beside them.
 
-    ``centrality``: (company, degree_centrality, ...); ``community``: (company, community_size, ...).
+    ``centrality``: (company, degree_centrality, ...); ``community``: (company, community_size, ...), whose
+    ``cluster_tenders`` is kept for the rotation signal.
     """
     facts = facts.where("company IS NOT NULL")
     out = bid_features(facts, dim, settings).join(pair_summary(pairs, settings), "company", "left")
@@ -104,7 +105,8 @@ def company_features(resolved: DataFrame, facts: DataFrame, dim: DataFrame, pair
     out = out.withColumn("min_pair_price_gap", F.coalesce("min_gap", F.lit(1.0))).withColumn("mean_pair_price_gap", F.coalesce("mean_gap", F.lit(1.0)))
     have = set(out.columns)
     cols = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0)).alias(c) for c in FEATURES]
-    return out.select("company", *cols, F.coalesce("solo_wins", F.lit(0)).alias("solo_wins"), F.coalesce("document_peers", F.lit(0)).alias("document_peers"))
+    more = [F.coalesce(c, F.lit(0)).alias(c) for c in ("solo_wins", "document_peers", "cluster_tenders") if c in have]
+    return out.select("company", *cols, *more)
 
 
 def percentile_threshold(df: DataFrame, column: str, p: float) -> DataFrame:

@@ -188,6 +188,29 @@ def cluster_behaviour(membership: DataFrame, facts: DataFrame, dim: DataFrame) -
     return out.select("community", "cluster_tenders", F.coalesce("captured", F.lit(0)).alias("captured"), zero(F.col("captured") / F.col("cluster_tenders")).alias("capture"), zero(F.col("concentration")).alias("concentration"), zero(entropy).alias("entropy"))
 
 
+def memberships(companies: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community) of every row of (id): the communities of ``edges``; one without links is its own."""
+    found = communities(edges)
+    alone = companies.select("id").distinct().join(found, "id", "left_anti")
+    return materialize(found.unionByName(alone.select("id", F.col("id").alias("community"))), "membership")
+
+
+def company_centrality(edges: DataFrame, companies: DataFrame, measures=("pagerank", "eigenvector", "betweenness", "clustering")) -> DataFrame:
+    """(company, degree_centrality, weighted_degree, ...) of the companies (id), over the graph of all nodes."""
+    out = companies.join(degrees(edges).drop("neighbours"), "id")
+    for name in measures:
+        out = out.join(globals()[name](edges), "id", "left")
+    return materialize(out.withColumnRenamed("id", "company"), "centrality")
+
+
+def company_communities(membership: DataFrame, edges: DataFrame, facts: DataFrame, dim: DataFrame) -> DataFrame:
+    """(company, community_size, ..., cluster_tenders) of (id, community): size, density and bidding of its community."""
+    members = membership.withColumnRenamed("id", "company")
+    per = community_stats(membership, edges).join(cluster_behaviour(members, facts, dim), "community", "left")
+    names = {"size": "community_size", "density": "community_density", "entropy": "cluster_rotation_entropy", "capture": "cluster_capture_rate", "concentration": "cluster_win_concentration"}
+    return materialize(members.join(per, "community").select("company", *[F.col(c).alias(to) for c, to in names.items()], "cluster_tenders"), "communities")
+
+
 def dense_groups(edges: DataFrame, min_size: int = 3, min_weight: float = 3.0) -> DataFrame:
     """(members, size, mean_weight): maximal cliques on edges of ``min_weight`` or more, one group per pivot.
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidgraph.operators import model, signals
-from bidgraph.plans.network_queries import projection
-from bidgraph.plans.risk_queries import SETTINGS, all_features, core, r4
+from bidgraph.plans.network_queries import projection, whole_features, whole_signals
+from bidgraph.plans.risk_queries import SETTINGS, core, r4
 from bidgraph.operators.graph import company_labels
 from bidgraph.plans.sql import CTE, with_tables
 from bidgraph.plans.storage import materialize
@@ -48,7 +48,7 @@ def rank_percentile(spark, folder):
 
 @query()
 def anomaly_scores(spark, folder):
-    return model.anomaly_scores(all_features(spark, folder))
+    return model.anomaly_scores(whole_features(spark, folder))
 
 
 @query()
@@ -59,7 +59,7 @@ def data_split(spark, folder):
 @query()
 def risk_probability(spark, folder):
     parts = core(spark, folder)
-    features = materialize(all_features(spark, folder, parts), "features")
+    features = whole_features(spark, folder, parts)
     found = model.probabilities(features, company_labels(parts[0]), projection(spark, folder, parts))
     return found if found is not None else model.anomaly_scores(features).withColumnRenamed("anomaly", "model_probability")
 
@@ -67,9 +67,9 @@ def risk_probability(spark, folder):
 @query()
 def blended_scores(spark, folder):
     """Rule and anomaly scores blended, riskiest first."""
-    features = materialize(all_features(spark, folder), "features")
+    features = whole_features(spark, folder)
     anomaly = model.anomaly_scores(features).withColumnRenamed("anomaly", "model_probability")
-    return signals.score_companies(signals.company_signals(features, SETTINGS), SETTINGS, anomaly).select("company", "rule_score", "model_probability", "risk_score", "risk_level").orderBy(F.desc("risk_score"), "company")
+    return signals.score_companies(whole_signals(features), SETTINGS, anomaly).select("company", "rule_score", "model_probability", "risk_score", "risk_level").orderBy(F.desc("risk_score"), "company")
 
 
 @query("""SELECT tp AS true_positive, fp AS false_positive, pos - tp AS false_negative, neg - fp AS true_negative, round(tp / (tp + fp), 4)::DOUBLE AS precision, round(tp / pos, 4)::DOUBLE AS recall, round(2 * tp / (tp + fp + pos), 4)::DOUBLE AS f1,

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidgraph.operators import graph, identity, networks, pairs
+from bidgraph.operators import features, graph, identity, networks, pairs, signals, views
+from bidgraph.plans.risk_queries import SETTINGS, all_pairs, core, r4
 from bidgraph.plans.risk_queries import communities as given_communities
-from bidgraph.plans.risk_queries import core, r4
 from bidgraph.plans.sql import CTE, with_tables
 from bidgraph.plans.storage import materialize
 from bidgraph.sources import market
@@ -34,8 +34,8 @@ def query(sql: str | None = None):
     return register
 
 
-def undirected(spark, folder):
-    rows, facts, dim = core(spark, folder)
+def undirected(spark, folder, parts=None):
+    rows, facts, dim = parts or core(spark, folder)
     return materialize(graph.undirected(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts, dim)))), "undirected")
 
 
@@ -53,6 +53,38 @@ def sparse_projection(spark, folder):
     return pairs.cobid_pairs(pairs.pair_rows(graph.bid_facts(rows), graph.tender_dim(rows))).select(F.col("company_a").alias("a"), F.col("company_b").alias("b"), F.col("shared_tenders").cast("double").alias("weight"))
 
 
+def companies(facts):
+    return facts.where("company IS NOT NULL").select(F.col("company").alias("id")).distinct()
+
+
+def detected(spark, folder, parts):
+    """(id, community) of all companies and the full company projection they were found in."""
+    edges = projection(spark, folder, parts)
+    return networks.memberships(companies(parts[1]), edges), edges
+
+
+def whole_features(spark, folder, parts=None, measures=("pagerank", "eigenvector", "betweenness", "clustering")):
+    """All features, with communities of the company projection and centrality in the graph of all nodes."""
+    parts = parts or core(spark, folder)
+    rows, facts, dim = parts
+    member, edges = detected(spark, folder, parts)
+    community = networks.company_communities(member, edges, facts, dim)
+    centrality = networks.company_centrality(undirected(spark, folder, parts), companies(facts), measures)
+    met = all_pairs(spark, folder, parts, member.withColumnRenamed("id", "company"))
+    return materialize(features.company_features(rows, facts, dim, met, SETTINGS, centrality, community), "features")
+
+
+def whole_signals(found):
+    """Signals of all features, with the cutoff of high centrality."""
+    cutoff = features.percentile_threshold(found, "degree_centrality", SETTINGS.high_degree_percentile).first()["cutoff"]
+    return signals.company_signals(found, SETTINGS, degree_cutoff=cutoff)
+
+
+def whole_scores(spark, folder, parts=None):
+    """Rule scores of all features; the signals read no other centrality than the degree."""
+    return signals.score_companies(whole_signals(whole_features(spark, folder, parts, measures=())), SETTINGS)
+
+
 def by_id(rows):
     return given_communities(rows).select(F.col("company").alias("id"), "community")
 
@@ -128,3 +160,43 @@ def ego_network(spark, folder):
     edges = materialize(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts, dim))), "edges").where("edge_type <> 'ISSUED_BY'")
     seeds = edges.where("edge_type = 'BIDS_IN' AND src LIKE '%00'").select(F.col("src").alias("id")).distinct()
     return graph.ego_network(edges, seeds, depth=2)[0]
+
+
+@query()
+def network_features(spark, folder):
+    """All 27 features; ``company_features`` has those of its SQL."""
+    return whole_features(spark, folder)
+
+
+@query()
+def network_signals(spark, folder):
+    rows = whole_signals(whole_features(spark, folder, measures=()))
+    return rows.select("company", F.explode("signals").alias("s")).select("company", "s.*")
+
+
+@query()
+def network_scores(spark, folder):
+    return whole_scores(spark, folder)
+
+
+@query()
+def network_signal_rollup(spark, folder):
+    return signals.signal_rollup(whole_signals(whole_features(spark, folder, measures=())))
+
+
+@query()
+def network_ranking(spark, folder):
+    return views.ranking(whole_scores(spark, folder), SETTINGS)
+
+
+@query()
+def network_profiles(spark, folder):
+    parts = core(spark, folder)
+    return views.company_profiles(parts[1], parts[2], whole_scores(spark, folder, parts))
+
+
+@query()
+def network_tender_scores(spark, folder):
+    parts = core(spark, folder)
+    rows = signals.tender_signals(features.tender_features(parts[1], parts[2]), SETTINGS)
+    return signals.score_tenders(rows, parts[1], whole_scores(spark, folder, parts))

@@ -58,13 +58,15 @@ def filed_documents(spark: SparkSession, folder: str, rows: DataFrame) -> DataFr
     return graph.submitted_documents(spread.join(docs, "doc_id").withColumn("document_hashes", F.array("hash")))
 
 
-def all_pairs(spark: SparkSession, folder: str, parts=None) -> DataFrame:
+def all_pairs(spark: SparkSession, folder: str, parts=None, membership: DataFrame | None = None) -> DataFrame:
+    """Pair features; ``membership``: (company, community), the given partition if there is none."""
     rows, facts, dim = parts or core(spark, folder)
-    found = pairs.pair_features(rows, facts, dim, filed_documents(spark, folder, rows), communities(rows))
+    found = pairs.pair_features(rows, facts, dim, filed_documents(spark, folder, rows), communities(rows) if membership is None else membership)
     return materialize(found, "pairs")
 
 
 def all_features(spark: SparkSession, folder: str, parts=None) -> DataFrame:
+    """The features that the SQL has; ``network_queries.whole_features`` has all."""
     parts = parts or core(spark, folder)
     return features.company_features(*parts, all_pairs(spark, folder, parts), SETTINGS)
 
@@ -298,7 +300,9 @@ def tender_scores(spark, folder):
 @query()
 def explanations(spark, folder):
     """Explanation texts and actions of every company; a verdict word in one fails the job."""
-    s = scored(spark, folder)
+    from bidgraph.plans.network_queries import whole_scores
+
+    s = whole_scores(spark, folder)
     text = signals.explanation(F.col("company"), F.col("risk_score"), F.col("risk_level"), F.col("signals"))
     bad = F.lower("explanation").rlike(r"\b(" + "|".join(signals.PROHIBITED_TERMS) + r")\b")
     rows = s.select("company", text.alias("explanation"), "actions")

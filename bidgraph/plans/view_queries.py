@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bidgraph.operators import documents, features, networks, pairs, portfolio, signals, views
 from bidgraph.plans import portfolio_queries as P
 from bidgraph.plans.document_queries import filed
+from bidgraph.plans.network_queries import whole_scores
 from bidgraph.plans.risk_queries import SETTINGS, all_pairs, core, r4, scored
 from bidgraph.plans.sql import CTE, with_tables
 from bidgraph.plans.storage import materialize
@@ -45,7 +46,7 @@ def headline(spark, folder):
 @query()
 def alerts(spark, folder):
     parts = core(spark, folder)
-    companies = materialize(scored(spark, folder, parts), "scores")
+    companies = materialize(whole_scores(spark, folder, parts), "scores")
     tenders = signals.score_tenders(signals.tender_signals(features.tender_features(parts[1], parts[2]), SETTINGS), parts[1], companies)
     return views.alerts(companies, tenders, min_score=SETTINGS.alert_threshold)
 
@@ -88,7 +89,7 @@ def cluster_signals(spark, folder):
     parts = core(spark, folder)
     found = materialize(all_pairs(spark, folder, parts), "pairs")
     linked = networks.components(found.where("shared_directors > 0 AND shared_addresses > 0").select("company_a", "company_b"))
-    rows = scored(spark, folder, parts).select("company", F.explode("signals").alias("s")).select("company", "s.*")
+    rows = whole_scores(spark, folder, parts).select("company", F.explode("signals").alias("s")).select("company", "s.*")
     return views.cluster_signals(linked, rows)
 
 
