@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidgraph.operators import features, graph, identity, networks, pairs, signals, views
+from bidgraph.operators import features, graph, networks, pairs, signals, views
 from bidgraph.plans.risk_queries import SETTINGS, all_pairs, core, r4
 from bidgraph.plans.risk_queries import communities as given_communities
 from bidgraph.plans.sql import CTE, with_tables
 from bidgraph.plans.storage import materialize
-from bidgraph.sources import market
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,13 +45,6 @@ def projection(spark, folder, parts=None):
     return materialize(graph.company_projection(found, people, places), "projection")
 
 
-def sparse_projection(spark, folder):
-    """Of the bids of large quantities: a company graph that is far from complete."""
-    rows = identity.resolve(materialize(market.bid_feed(spark, folder).where("quantity >= 45"), "feed"))
-    rows = materialize(rows, "resolved")
-    return pairs.cobid_pairs(pairs.pair_rows(graph.bid_facts(rows), graph.tender_dim(rows))).select(F.col("company_a").alias("a"), F.col("company_b").alias("b"), F.col("shared_tenders").cast("double").alias("weight"))
-
-
 def companies(facts):
     return facts.where("company IS NOT NULL").select(F.col("company").alias("id")).distinct()
 
@@ -122,12 +114,12 @@ def connected_components(spark, folder):
 
 @query()
 def communities(spark, folder):
-    return networks.communities(sparse_projection(spark, folder))
+    return detected(spark, folder, core(spark, folder))[0]
 
 
 @query()
 def dense_groups(spark, folder):
-    return networks.dense_groups(sparse_projection(spark, folder))
+    return networks.dense_groups(projection(spark, folder))
 
 
 @query("""SELECT c.community, c.size, round(CASE WHEN c.size > 1 THEN 2 * coalesce(m, 0) / (c.size * (c.size - 1)) ELSE 0 END, 4)::DOUBLE AS density FROM (SELECT community, count(*) AS size FROM community GROUP BY 1) c

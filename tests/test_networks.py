@@ -1,11 +1,44 @@
 """Networks on literal rows: whole results against small graphs worked out by hand or brute force."""
 
+import itertools
+
 from test_bids import S, bids
 
 from bidgraph.operators import features, graph, identity, networks, pairs, signals
 from bidgraph.plans.storage import materialize
 
 
+def linked(spark, edges):
+    return materialize(spark.createDataFrame([(*sorted(e), w) for e, w in edges.items()], "a string, b string, weight double"))
+
+
+def test_dense_groups_equal_brute_force(spark):
+    names = [f"c{i}" for i in range(9)]
+    edges = {(a, b): 1.0 + (i * 7 + i // 3) % 5 for i, (a, b) in enumerate(itertools.combinations(names, 2)) if i % 9 != 4}
+    strong = {frozenset(e) for e, w in edges.items() if w >= 3}
+    whole = [set(c) for n in range(1, 10) for c in itertools.combinations(names, n) if all(frozenset(e) in strong for e in itertools.combinations(c, 2))]
+    want = sorted(sorted(c) for c in whole if len(c) >= 3 and not any(c < d for d in whole))
+    got = networks.dense_groups(linked(spark, edges)).collect()
+    assert sorted(r.members for r in got) == want and len(want) > 3
+    for r in got:
+        inside = [edges[e] for e in itertools.combinations(r.members, 2)]
+        assert abs(r.mean_weight - sum(inside) / len(inside)) < 1e-9
+
+
+def test_communities_and_groups_use_every_bid(spark, sf):
+    """Each company of the feed is placed, and each pair that is linked in the full projection can be in a group."""
+    from bidgraph.plans import network_queries as N
+
+    parts = N.core(spark, sf)
+    want = {r.id for r in N.companies(parts[1]).collect()}
+    assert {r.id for r in N.QUERIES["communities"](spark, sf).collect()} == want
+    strong = {frozenset((r.a, r.b)) for r in N.projection(spark, sf, parts).where("weight >= 3").collect()}
+    groups = [r.members for r in N.QUERIES["dense_groups"](spark, sf).collect()]
+    assert {frozenset(e) for g in groups for e in itertools.combinations(g, 2)} <= strong and sum(len(g) for g in groups) > 0
+    three = {frozenset(t) for t in itertools.combinations(sorted(want), 3) if all(frozenset(e) in strong for e in itertools.combinations(t, 2))}
+    assert three == {frozenset(t) for g in groups for t in itertools.combinations(g, 3)}
+
+
 def ring(spark):
     """Three companies in turn win the tenders that they alone enter; two others bid once together."""
     rows = [(f"C{i}", f"T{t}", 100.0 + (i + t) % 3, "won" if i == t % 3 else "lost", None) for t in range(6) for i in range(3)]
