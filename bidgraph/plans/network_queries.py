@@ -99,12 +99,18 @@ def pagerank(spark, folder):
 
 @query()
 def eigenvector_centrality(spark, folder):
-    return networks.eigenvector(projection(spark, folder))
+    return networks.eigenvector(undirected(spark, folder))
 
 
 @query()
 def betweenness(spark, folder):
-    return networks.betweenness(projection(spark, folder))
+    return networks.betweenness(undirected(spark, folder))
+
+
+@query()
+def network_clustering(spark, folder):
+    """Over the graph of all nodes; ``clustering_coefficient`` is over companies, as its SQL."""
+    return networks.clustering(undirected(spark, folder))
 
 
 @query("""SELECT x.id AS node, min(y.id) AS root FROM (SELECT src AS id, min(dst) AS m FROM p_ends GROUP BY src) x, (SELECT src AS id FROM p_ends) y GROUP BY x.id""")

@@ -64,3 +64,15 @@ def test_network_features_fire_their_signals(spark):
     cutoff = features.percentile_threshold(matrix, "degree_centrality", S.high_degree_percentile).first()["cutoff"]
     fired = {r.company: {s["code"] for s in r.signals} for r in signals.company_signals(matrix, S, degree_cutoff=cutoff).collect()}
     assert {"WINNER_ROTATION", "HIGH_CENTRALITY", "DENSE_SUBGROUP"} <= fired["C_C0"] and "DENSE_SUBGROUP" not in fired["C_C8"]
+
+
+def test_centrality_covers_all_nodes(spark, sf, monkeypatch):
+    from bidgraph.plans import network_queries as N
+
+    small = linked(spark, {("C_1", "T_1"): 1.0, ("C_2", "T_1"): 2.0, ("C_1", "C_2"): 1.0, ("P_1", "C_1"): 2.0, ("D_1", "T_1"): 1.0, ("A_1", "C_2"): 1.0})
+    monkeypatch.setattr(N, "undirected", lambda *_: small)
+    for name in ("eigenvector_centrality", "betweenness", "network_clustering"):
+        got = {r[0]: r[1] for r in N.QUERIES[name](spark, sf).collect()}
+        assert set(got) == {"C_1", "C_2", "T_1", "P_1", "D_1", "A_1"}
+        if name == "network_clustering":
+            assert abs(got["T_1"] - 1 / 3) < 1e-9 and got["P_1"] == 0
