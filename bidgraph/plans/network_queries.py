@@ -198,3 +198,26 @@ def network_tender_scores(spark, folder):
     parts = core(spark, folder)
     rows = signals.tender_signals(features.tender_features(parts[1], parts[2]), SETTINGS)
     return signals.score_tenders(rows, parts[1], whole_scores(spark, folder, parts))
+
+
+@query()
+def network_pair_features(spark, folder):
+    """Pair features with the communities of the company projection."""
+    parts = core(spark, folder)
+    return all_pairs(spark, folder, parts, detected(spark, folder, parts)[0].withColumnRenamed("id", "company"))
+
+
+@query()
+def network_community_density(spark, folder):
+    return networks.community_stats(*detected(spark, folder, core(spark, folder)))
+
+
+@query()
+def network_modularity(spark, folder):
+    return networks.modularity(*detected(spark, folder, core(spark, folder)))
+
+
+@query()
+def network_cluster_behaviour(spark, folder):
+    parts = core(spark, folder)
+    return networks.cluster_behaviour(detected(spark, folder, parts)[0].withColumnRenamed("id", "company"), parts[1], parts[2])

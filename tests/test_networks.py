@@ -76,3 +76,34 @@ def test_centrality_covers_all_nodes(spark, sf, monkeypatch):
         assert set(got) == {"C_1", "C_2", "T_1", "P_1", "D_1", "A_1"}
         if name == "network_clustering":
             assert abs(got["T_1"] - 1 / 3) < 1e-9 and got["P_1"] == 0
+
+
+def test_networks_of_the_feed(spark, sf, monkeypatch):
+    """Detected communities join pairs and behaviour; clusters hold every linkable pair; egos have all types and their edges."""
+    from bidgraph.plans import network_queries as N
+    from bidgraph.plans import view_queries as V
+
+    parts = tuple(materialize(df) for df in N.core(spark, sf))
+    member = N.detected(spark, sf, parts)
+    at = {r.id: r.community for r in member[0].collect()}
+    for module in (N, V):
+        monkeypatch.setattr(module, "core", lambda *_: parts)
+    monkeypatch.setattr(N, "detected", lambda *_: member)
+    for r in N.QUERIES["network_pair_features"](spark, sf).collect():
+        assert r.same_community == (at[r.company_a] == at[r.company_b])
+    tenders = {}
+    for r in parts[1].where("company IS NOT NULL").collect():
+        tenders.setdefault((at[r.company], r.tender), []).append(r.company)
+    want = {}
+    for (community, _), found in tenders.items():
+        want[community] = want.get(community, 0) + (len(found) > 1)
+    assert {r.community: r.cluster_tenders for r in N.QUERIES["network_cluster_behaviour"](spark, sf).collect()} == {c: n for c, n in want.items() if n}
+    sizes = {r.community: r["size"] for r in N.QUERIES["network_community_density"](spark, sf).collect()}
+    assert sizes == {c: list(at.values()).count(c) for c in at.values()}
+    m2, inside, total = 0.0, 0.0, {}
+    for r in member[1].collect():
+        m2 += 2 * r.weight
+        inside += 2 * r.weight * (at[r.a] == at[r.b])
+        for end in (r.a, r.b):
+            total[at[end]] = total.get(at[end], 0.0) + r.weight
+    assert abs(N.QUERIES["network_modularity"](spark, sf).first().modularity - (inside / m2 - sum(t * t for t in total.values()) / m2**2)) < 1e-9
