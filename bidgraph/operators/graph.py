@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bidgraph.functions.clean import is_winner
 from bidgraph.operators.identity import entities
+from bidgraph.plans.storage import materialize
 
 #: Allowed end types of each edge type.
 EDGE_SCHEMA = {
@@ -138,12 +139,12 @@ def stats(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
 
 def ego_network(edge_table: DataFrame, seeds: DataFrame, depth: int = 2) -> tuple[DataFrame, DataFrame]:
     """(seed, id, hops) within ``depth`` of each seed, and the induced edges (seed, src, dst, edge_type, weight)."""
-    around = edge_table.select("src", "dst").unionByName(edge_table.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    around = materialize(edge_table.select("src", "dst").unionByName(edge_table.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "around")
     reached = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("hops")).distinct()
     frontier = reached
     for hop in range(1, depth + 1):
         step = frontier.join(around, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
-        frontier = step.join(reached.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier = materialize(step.join(reached.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hops", F.lit(hop)), "frontier")
         reached = reached.unionByName(frontier)
     inside = reached.select("seed", F.col("id").alias("src"))
     induced = edge_table.join(inside, "src").join(reached.select("seed", F.col("id").alias("dst")), ["seed", "dst"])

@@ -77,6 +77,23 @@ def whole_scores(spark, folder, parts=None):
     return signals.score_companies(whole_signals(whole_features(spark, folder, parts, measures=())), SETTINGS)
 
 
+def ego_seeds(rows):
+    """(id): the companies whose id ends in 00, and of each node type the one with the smallest hash."""
+    kinds = ("company", "person", "tender", "address", "department")
+    nodes = [rows.select(F.lit(k).alias("kind"), F.col(k).alias("id")).where("id IS NOT NULL") for k in kinds]
+    ids = nodes[0]
+    for more in nodes[1:]:
+        ids = ids.unionByName(more)
+    one = ids.groupBy("kind").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("m")).select("m.id")
+    return ids.where("kind = 'company' AND id LIKE '%00'").select("id").unionByName(one).distinct()
+
+
+def egos(spark, folder):
+    rows, facts, dim = core(spark, folder)
+    edges = materialize(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts, dim))), "edges")
+    return graph.ego_network(edges, materialize(ego_seeds(rows), "seeds"), depth=2)
+
+
 def by_id(rows):
     return given_communities(rows).select(F.col("company").alias("id"), "community")
 
@@ -153,11 +170,14 @@ def cluster_behaviour(spark, folder):
 
 @query()
 def ego_network(spark, folder):
-    """Two hops around every node whose id ends in 00."""
-    rows, facts, dim = core(spark, folder)
-    edges = materialize(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts, dim))), "edges").where("edge_type <> 'ISSUED_BY'")
-    seeds = edges.where("edge_type = 'BIDS_IN' AND src LIKE '%00'").select(F.col("src").alias("id")).distinct()
-    return graph.ego_network(edges, seeds, depth=2)[0]
+    """Two hops, over all edge types, around the seeds of ``ego_seeds``."""
+    return egos(spark, folder)[0]
+
+
+@query()
+def ego_edges(spark, folder):
+    """The edges among the nodes of each ego network."""
+    return egos(spark, folder)[1]
 
 
 @query()

@@ -107,3 +107,10 @@ def test_networks_of_the_feed(spark, sf, monkeypatch):
         for end in (r.a, r.b):
             total[at[end]] = total.get(at[end], 0.0) + r.weight
     assert abs(N.QUERIES["network_modularity"](spark, sf).first().modularity - (inside / m2 - sum(t * t for t in total.values()) / m2**2)) < 1e-9
+
+    hops, edges = N.egos(spark, sf)
+    hops = hops.collect()
+    assert {r.seed[0] for r in hops} == set("CPTAD") and {r.id[0] for r in hops} == set("CPTAD")
+    near = {(r.seed, r.id) for r in hops}
+    assert all((r.seed, r.src) in near and (r.seed, r.dst) in near for r in edges.limit(500).collect())
+    assert edges.where("edge_type = 'ISSUED_BY'").count() > 0
