@@ -89,6 +89,17 @@ def relationship_edges(relations: DataFrame) -> DataFrame:
     return relations.where("company_a <> company_b").select(c("company_a").alias("a"), c("company_b").alias("b"), evidence.alias("evidence"), F.round(c("risk") * 100).cast("int").alias("score"), linkable.alias("linkable"))
 
 
+def renamed(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges between other ids, by (id, node); an end without one keeps its id, edges that meet are united, loops are dropped."""
+    rows = edges
+    for end in ("a", "b"):
+        rows = rows.join(known.select(F.col("id").alias(end), F.col("node").alias(f"{end}_node")), end, "left")
+    a, b = F.coalesce("a_node", "a"), F.coalesce("b_node", "b")
+    rows = rows.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), *[c for c in edges.columns if c not in ("a", "b")]).where("x <> y")
+    how = {"evidence": F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), "score": F.max("score"), "linkable": F.bool_or("linkable")}
+    return rows.groupBy("x", "y").agg(*[c.alias(name) for name, c in how.items() if name in edges.columns]).withColumnsRenamed({"x": "a", "y": "b"})
+
+
 def merge_edges(relations: DataFrame, registry: DataFrame) -> DataFrame:
     """Both edge sets by unordered pair: evidence united; a registry edge makes a pair linkable."""
     left = relations.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("evidence").alias("e1"), "score", "linkable")

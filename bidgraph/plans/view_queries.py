@@ -76,10 +76,22 @@ def registry_components(spark, folder):
     return networks.components(P.registry_edges(spark, folder).select("a", "b"))
 
 
+def owners(rows):
+    """(bidder, company): the registry's bidder ids of the companies."""
+    return rows.where("company IS NOT NULL").select(F.concat(F.lit("B-"), F.col("supplier").cast("string")).alias("bidder"), "company").distinct()
+
+
+def relations_of(spark, folder, parts):
+    return materialize(portfolio.relationship_edges(pairs.relationship_risk(all_pairs(spark, folder, parts), SETTINGS)), "relations")
+
+
 @query()
 def clusters(spark, folder):
-    """Clusters of bidders by shared phones and accounts, numbered by score."""
-    edges = materialize(P.registry_edges(spark, folder), "edges").withColumn("linkable", F.lit(True))
+    """Clusters of bidders by shared directors, addresses, documents, phones and accounts, numbered by score."""
+    parts = core(spark, folder)
+    known = owners(parts[0]).withColumnsRenamed({"company": "id", "bidder": "node"})
+    relations = portfolio.renamed(relations_of(spark, folder, parts), known)
+    edges = materialize(portfolio.merge_edges(relations, P.registry_edges(spark, folder)), "edges").where("linkable")
     found = portfolio.clusters(edges, networks.components(edges.select("a", "b")), P.bidder_scores(spark, folder))
     return views.number_clusters(found)
 
@@ -87,8 +99,10 @@ def clusters(spark, folder):
 @query()
 def cluster_signals(spark, folder):
     parts = core(spark, folder)
-    found = materialize(all_pairs(spark, folder, parts), "pairs")
-    linked = networks.components(found.where("shared_directors > 0 AND shared_addresses > 0").select("company_a", "company_b"))
+    known = owners(parts[0]).withColumnsRenamed({"bidder": "id", "company": "node"})
+    registry = portfolio.renamed(P.registry_edges(spark, folder), known).select("a", "b", "evidence")
+    edges = portfolio.merge_edges(relations_of(spark, folder, parts), registry)
+    linked = networks.components(edges.where("linkable").select("a", "b"))
     rows = whole_scores(spark, folder, parts).select("company", F.explode("signals").alias("s")).select("company", "s.*")
     return views.cluster_signals(linked, rows)
 

@@ -114,3 +114,18 @@ def test_networks_of_the_feed(spark, sf, monkeypatch):
     near = {(r.seed, r.id) for r in hops}
     assert all((r.seed, r.src) in near and (r.seed, r.dst) in near for r in edges.limit(500).collect())
     assert edges.where("edge_type = 'ISSUED_BY'").count() > 0
+
+
+def test_clusters_by_any_evidence(spark, sf, monkeypatch):
+    """One kind of link is enough, and registry edges count between companies."""
+    from bidgraph.plans import view_queries as V
+
+    columns = "a string, b string, evidence array<string>, score int, linkable boolean"
+    some = [("C_1", "C_2", ["sharedDirector"], 35, True), ("C_2", "C_3", ["duplicateBidDocuments"], 45, True), ("C_4", "C_5", ["repeatedCoBidding"], 20, False)]
+    monkeypatch.setattr(V, "relations_of", lambda *_: spark.createDataFrame(some, columns))
+    monkeypatch.setattr(V, "core", lambda *_: (spark.createDataFrame([(f"C_{i}", i) for i in range(1, 7)], "company string, supplier long"), None, None))
+    monkeypatch.setattr(V.P, "registry_edges", lambda *_: spark.createDataFrame([("B-3", "B-4", ["sharedPhone"])], "a string, b string, evidence array<string>"))
+    monkeypatch.setattr(V, "whole_scores", lambda *_: spark.createDataFrame([(f"C_{i}", [("SHARED_DIRECTORS", 0.1 * i, 1.0)]) for i in range(1, 7)], "company string, signals array<struct<code string, severity double, weight double>>"))
+    found = V.QUERIES["clusters"](spark, sf).collect()
+    assert [(r.members, r.evidence) for r in found] == [(4, ["duplicateBidDocuments", "sharedDirector", "sharedPhone"])]
+    assert [(r.root, r.company) for r in V.QUERIES["cluster_signals"](spark, sf).collect()] == [("C_1", "C_4")]
