@@ -2,8 +2,9 @@
 
 The pattern kinds are ``assign``, ``access`` and ``hex``.  Kind ``random`` holds strings whose
 characters per token under a byte-pair vocabulary are few: words of a language pack well into
-tokens, random strings don't.  Known digests, numbers, UUIDs and identifiers made of words are not
-counted as random.  Every scan is a narrow pass over whole texts.
+tokens, random strings don't.  Known digests, numbers, UUIDs and identifiers whose parts pack well
+are not counted as random.  What base spans leave of a string is tested by itself.  Every scan is a
+narrow pass over whole texts.
 
 Defined cases: a null or empty text has no spans; spans of different kinds may overlap; offsets
 are code points with an exclusive end; rows that repeat are scanned each; other columns are kept.
@@ -33,6 +34,10 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words, numbers and short codes joined by separators: names of things in programs, paths, dates.
 IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z]{1,3}[0-9]{1,4})[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z]{1,3}[0-9]{1,4})?[+/_=-]*")
 
+#: The parts of an identifier that are measured; numbers, single letters and short codes are known.
+LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])")
+MIN_CHARS = 20
+
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
@@ -46,9 +51,20 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return _ENCODINGS[path]
 
 
+def packs(parts: list[str], tokens: tiktoken.Encoding, limit: float) -> bool:
+    """Letters a token, the better of the written and the small letters: words in capitals pack like words."""
+    n = sum(min(len(tokens.encode_ordinary(p)), len(tokens.encode_ordinary(p.lower()))) for p in parts)
+    return sum(map(len, parts)) >= limit * n
+
+
 def is_random(word: str, tokens: tiktoken.Encoding, limit: float = MAX_CHARS_PER_TOKEN) -> bool:
-    if DIGEST.fullmatch(word) or UUID.fullmatch(word) or IDENTIFIER.fullmatch(word):
+    if DIGEST.fullmatch(word) or UUID.fullmatch(word):
         return False
+    if IDENTIFIER.fullmatch(word):
+        parts = LETTERS.findall(word)
+        if 2 * sum(map(len, parts)) >= len(word) and not packs(parts, tokens, limit):
+            return True
+        return any(len(p) >= MIN_CHARS and not packs([p], tokens, limit) for p in parts)
     return len(word) < limit * len(tokens.encode_ordinary(word))
 
 
@@ -58,11 +74,19 @@ def find_spans(text: str | None, tokens: tiktoken.Encoding, limit: float) -> lis
     if "AKIA" in text:
         spans += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    taken = list(spans)
+    taken = sorted((s, e) for _, s, e in spans)
     for m in CANDIDATE.finditer(text):
-        inside = any(s < m.end() and m.start() < e for _, s, e in taken)
-        if not inside and is_random(m[0], tokens, limit):
-            spans.append(("random", m.start(), m.end()))
+        at, rests = m.start(), []
+        for s, e in taken:
+            if s < m.end() and m.start() < e:
+                rests += [(at, s)] if s > at else []
+                at = max(at, e)
+        rests += [(at, m.end())] if at < m.end() else []
+        short = [(s, e) for s, e in rests if e - s < MIN_CHARS]
+        left = "".join(text[s:e] for s, e in short)
+        found = [(s, e) for s, e in rests if e - s >= MIN_CHARS and is_random(text[s:e], tokens, limit)]
+        found += short if len(left) >= MIN_CHARS and is_random(left, tokens, limit) else []
+        spans += [("random", s, e) for s, e in found]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
