@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ERROR_RATE = 0.08  # edits allowed, as a share of an item's characters
+ERROR_RATE = 0.10  # edits allowed, as a share of an item's characters
 MIN_CHARS, MIN_PIECE = 30, 8
 BLOCK_CHARS = 1_000_000  # characters of items in one block
 
@@ -78,6 +78,29 @@ def nearest(item: str, text: str) -> int:
     return best
 
 
+SLACK = 2  # places by which a neighbour of an exact piece may have moved
+
+
+def anchors(parts: list[tuple[int, str]]) -> list[tuple[tuple[str, int], ...]]:
+    """Of each piece the halves (text, offset from the piece) of which one must stand beside it.
+
+    Pieces go in groups of two, the last of three if their number is odd. With fewer edits than pieces, some
+    group has fewer edits than pieces; in it a piece is exact and a neighbour has one edit at most, so
+    that one of the neighbour's halves is exact.
+    """
+    n = len(parts)
+    out = []
+    for i, (offset, _) in enumerate(parts):
+        first = min(i // 2 * 2, max(0, n // 2 * 2 - 2))
+        last = n if n - first <= 3 else first + 2
+        halves = []
+        for start, text in (parts[j] for j in range(first, last) if j != i):
+            cut = len(text) // 2
+            halves += [(text[:cut], start - offset), (text[cut:], start + cut - offset)]
+        out.append(tuple(halves))
+    return out
+
+
 @dataclass(frozen=True)
 class Item:
     item_id: int
@@ -95,10 +118,11 @@ class Matcher:
     """The piece automaton of one block of items."""
 
     def __init__(self, items: list[Item]):
-        places: dict[str, list[tuple[Item, int]]] = {}
+        places: dict[str, list[tuple[Item, int, tuple]]] = {}
         for item in items:
-            for offset, piece in pieces(item.text, item.edits):
-                places.setdefault(piece, []).append((item, offset))
+            parts = pieces(item.text, item.edits)
+            for (offset, piece), halves in zip(parts, anchors(parts)):
+                places.setdefault(piece, []).append((item, offset, halves))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
             self.automaton.add_word(piece, (len(piece), found))
@@ -112,10 +136,13 @@ class Matcher:
         if self.empty or not text:
             return out
         for end, (size, places) in self.automaton.iter(text):
-            for item, offset in places:
-                start = end + 1 - size - offset
+            at = end + 1 - size
+            for item, offset, halves in places:
+                start = at - offset
                 if out.get(item.item_id) == 0 or (item.item_id, start) in done:
                     continue
+                if halves and not any(half in text[max(0, at + o - SLACK) : max(0, at + o + len(half) + SLACK)] for half, o in halves):
+                    continue
                 done.add((item.item_id, start))
                 k, length = item.edits, len(item.text)
                 if text.startswith(item.text, max(0, start)):
