@@ -8,6 +8,7 @@ sides of a shuffled join can be split by adaptive execution.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a new temporary folder only where it is unset."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a new temporary folder if the whole session is one process; executors of a
+    cluster would each write to a folder of their own, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="bidgraph-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -35,11 +42,11 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later plan reads."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/bidgraph/" in f}
+    folders = {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles() if "/bidgraph/" in f}
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
