@@ -4,7 +4,10 @@ The pattern kinds are ``assign``, ``access`` and ``hex``.  Kind ``random`` holds
 characters per token under a byte-pair vocabulary are few: words of a language pack well into
 tokens, random strings don't.  Known digests, numbers, UUIDs and identifiers whose parts pack well
 are not counted as random.  What base spans leave of a string is tested by itself.  Every scan is a
-narrow pass over whole texts.
+narrow pass over whole texts, in time linear in the text.
+
+Two limits: strings under ``MIN_CHARS`` characters are not tested, as a few tokens say
+too little, and random strings of ``MAX_CHARS_PER_TOKEN`` characters a token or more pass as words.
 
 Defined cases: a null or empty text has no spans; spans of different kinds may overlap; offsets
 are code points with an exclusive end; rows that repeat are scanned each; other columns are kept.
@@ -26,17 +29,17 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the runs of [0-9a-f]+ that have 24 characters or more
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+MIN_CHARS = 20  # least length of a string whose tokens are counted
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 MAX_CHARS_PER_TOKEN = 2.0
 #: Digests of common lengths (MD5, SHA-1, SHA-2) and UUIDs are known, not random.
 DIGEST = re.compile(r"(?:(?:md5|sha\d*)[-_=]?)?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})", re.I)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words, numbers and short codes joined by separators: names of things in programs, paths, dates.
-IDENTIFIER = re.compile(r"[+/_=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z]{1,3}[0-9]{1,4})[+/_=-]+)*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z]{1,3}[0-9]{1,4})?[+/_=-]*")
-
+#: Parts of identifiers between separators: words, numbers and short codes.
+SEPARATORS = re.compile("[+/_=-]+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[A-Za-z]{1,3}[0-9]{1,4}")
 #: The parts of an identifier that are measured; numbers, single letters and short codes are known.
 LETTERS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,}(?![A-Za-z0-9])")
-MIN_CHARS = 20
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ENCODINGS: dict[str, tiktoken.Encoding] = {}
@@ -57,10 +60,15 @@ def packs(parts: list[str], tokens: tiktoken.Encoding, limit: float) -> bool:
     return sum(map(len, parts)) >= limit * n
 
 
+def is_identifier(word: str) -> bool:
+    """Names of things in programs, paths and dates: every part between separators is of a known kind."""
+    return all(PART.fullmatch(p) for p in SEPARATORS.split(word) if p)
+
+
 def is_random(word: str, tokens: tiktoken.Encoding, limit: float = MAX_CHARS_PER_TOKEN) -> bool:
     if DIGEST.fullmatch(word) or UUID.fullmatch(word):
         return False
-    if IDENTIFIER.fullmatch(word):
+    if is_identifier(word):
         parts = LETTERS.findall(word)
         if 2 * sum(map(len, parts)) >= len(word) and not packs(parts, tokens, limit):
             return True
