@@ -7,7 +7,8 @@ are closed; files of lost attempts are never in the manifest.  Reading: a task s
 through incremental decompression, frames each record by its content length and verifies block
 and payload digests.  Only one record is in memory at a time.
 
-Paths are opened by pyarrow's file systems, so the shared folder may be any store that they know.
+Paths are opened by pyarrow's file systems, so the shared folder may be any store that they know, by
+its own name or by that of Spark's connector (``SCHEMES``).
 
 Defined cases: a null payload counts as empty; a null URL is stored as an empty target; payloads
 under ``min_revisit`` bytes are always responses; rows with a null id are responses that nothing
@@ -40,7 +41,15 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2024-01-01T00:00:00Z"
 
 
+#: Schemes of Spark's connectors that pyarrow knows by another name; dbfs is mounted.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "/dbfs/"}
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path inside it of a path as Spark writes it."""
+    for scheme, known in SCHEMES.items():
+        if uri.startswith(scheme):
+            uri = known + uri.removeprefix(scheme).lstrip("/")
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if uri.startswith("/"):
@@ -162,7 +171,10 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     counted = rows.select("page_id", long_enough.alias("digest")).where("digest IS NOT NULL AND page_id IS NOT NULL")
     first = counted.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = materialize(first.select("digest", "first", "n"), "payloads")
-    joined = rows.withColumn("digest", long_enough).join(first, "digest", "left")
+    # Only rows with a digest are joined: those without would all meet in one partition.
+    keyed = rows.withColumn("digest", long_enough)
+    alone = keyed.where("digest IS NULL").select("*", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("n"))
+    joined = keyed.where("digest IS NOT NULL").join(first, "digest", "left").select(*alone.columns).unionByName(alone)
     repeats = first.join(counted, "digest").where("page_id = first").groupBy("digest").count().where("count > 1")
     joined = joined.withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     if not repeats.isEmpty():  # rows that repeat the smallest id: one of them stays the response
@@ -227,11 +239,11 @@ def _records(rows: list[tuple]) -> pd.DataFrame:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, with_payload: bool = True) -> DataFrame:
-    """One row per record of the archives in ``manifest``; each archive is read by one task.
+    """One row per record of the archives in ``manifest``, one task per archive.
 
     A record without a payload in the archive (a revisit) has an empty payload here.
     """
-    paths = manifest.select("path").repartition(max(1, spark.sparkContext.defaultParallelism * 2))
+    paths = manifest.select("path").repartition(max(1, manifest.count()))
     records = paths.mapInPandas(_reader(with_payload), _RECORD)
     return records if with_payload else records.drop("payload")
 
