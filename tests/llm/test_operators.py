@@ -375,7 +375,8 @@ def test_decontamination_blocks(spark, monkeypatch):
     run = lambda: {r.doc_id: [i.item_id for i in r.benchmark_items] for r in decontam.match_documents(df, bench).collect()}
     assert run() == want
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 10)
-    assert len(decontam.load_items(bench)) == 2 and run() == want
+    folders = decontam.write_blocks(decontam.normal_items(bench), 96, 10)
+    assert sorted(i.item_id for f in folders for i in decontam.read_block(f, 0.1)) == [1, 4] and run() == want
     assert {len(r.benchmark_items) for r in decontam.match_documents(df, bench.limit(0)).collect()} == {0}
 
 
