@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bidgraph.llm import decontam, langid, minhash, secrets, sentencepiece_codec
 from bidgraph.llm.queries import PATTERN, PIECES, RANKS
 from bidgraph.llm.text_stats import small_batches
-from bidgraph.plans.storage import materialize
+from bidgraph.plans.storage import discard, materialize
 from bidgraph.plans.tables import table
 
 
@@ -26,17 +26,32 @@ def _free(name: str, docs: DataFrame) -> str:
     return name
 
 
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null texts and texts without a letter."""
+#: Predicted languages that stay; None keeps every language that the documents' own labels name.
+LANGUAGES: tuple[str, ...] | None = None
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[str, ...] | None = LANGUAGES) -> DataFrame:
+    """Keep documents whose text is clearly in an accepted language; the label isn't asked.
+
+    Rejected are texts predicted to be in another language than ``languages``, texts whose two
+    nearest codewords are too close to tell apart, and null texts or texts without a letter
+    (``und``).  Texts of any length are read whole; rows that repeat are judged each; without any
+    labelled row nothing can be learnt and every document is rejected.
+    """
     small_batches(spark)
     model = langid.fit(docs)
     name = _free("language", docs)
     found = docs.withColumn(name, langid.identify(F.col("text"), model, spark))
-    return found.where(F.col(f"{name}.lang_pred") != langid.UNKNOWN).select(*_own(docs))
+    accepted = model.languages if languages is None else languages
+    return found.where(F.col(f"{name}.lang_pred").isin(*accepted) & ~F.col(f"{name}.ambiguous")).select(*_own(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group that shares 80 % of its five-word shingles."""
+    """Keep the document of the smallest id of each group that shares 80 % of its five-word shingles.
+
+    Of rows that repeat an id the first by text, then language, source and length stays, nulls
+    first.  Rows without an id, and empty texts, stay.
+    """
     small_batches(spark)
     judged = minhash.near_duplicates(docs, width=5, percent=80)
     dropped, mark = _free("dropped", docs), _free("doc_id_", docs)
@@ -48,20 +63,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return kept
     marked = kept.join(repeated, F.col("doc_id") == F.col(mark), "left")
     once = marked.where(F.col(dropped).isNull()).select(*_own(docs))
-    return once.unionByName(marked.where(dropped).select(*_own(docs)).dropDuplicates(["doc_id"]))
+    # The smallest row of an id is an aggregate and not a place in a window, as one id may hold a third of all rows.
+    order = F.struct(*[c for c in ("text", "lang", "source", "n_chars") if c in docs.columns])
+    first = marked.where(dropped).groupBy(F.col("doc_id").alias(mark)).agg(F.min_by(F.struct(*_own(docs)), order).alias(dropped))
+    return once.unionByName(first.select(f"{dropped}.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item within its edit budget.
+
+    Null and empty texts hold none and stay; rows that repeat are judged each; texts of any length
+    are searched whole.
+    """
     small_batches(spark)
     name = _free("benchmark_items", docs)
-    blocks = decontam.load_items(table(spark, sf_dir, "benchmark"))
-    found = docs.withColumn(name, decontam.contaminations(F.col("text"), blocks, spark))
-    return found.where(F.size(name) == 0).select(*_own(docs))
+    matched = decontam.match_documents(docs, table(spark, sf_dir, "benchmark"), name=name)
+    return matched.where(F.size(name) == 0).select(*_own(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace each secret in a text by a mark; n_chars follows the new text."""
+    """Replace each secret in a text by a mark; n_chars follows the new text.
+
+    No row goes; a null text stays null, overlapping secrets get one mark, rows that repeat are
+    redacted each.
+    """
     small_batches(spark)
     name = _free("redacted", docs)
     found = docs.withColumn(name, secrets.redacted(F.col("text"), RANKS, PATTERN))
@@ -71,7 +96,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and what they decode to."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): token ids of each document, and what they decode to.
+
+    A null text counts as empty and has the begin and end ids alone; rows that repeat are encoded
+    each; other columns are not read.
+    """
     small_batches(spark)
     coded = docs.select("doc_id", sentencepiece_codec.encode_decode(F.col("text"), PIECES).alias("c")).select("doc_id", "c.*")
     digests = F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
@@ -91,6 +120,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(spark, docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
