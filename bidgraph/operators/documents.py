@@ -50,6 +50,11 @@ DATES = r"(?i)\b([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{1,2}\s+(?:Jan|Feb|
 DEFAULT_TITLE = "Extracted Tender"
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hits(low: Column, terms: tuple[str, ...]) -> Column:
     total = F.lit(0)
     for t in terms:
@@ -64,7 +69,7 @@ def _normal(text: Column) -> Column:
 def relevance(text: Column) -> Column:
     """empty, wrong_document (no procurement term) or success."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(text == "", "empty").when(_hits(_normal(text), PROCUREMENT_TERMS) == 0, "wrong_document").otherwise("success")
+    return F.when(text == "", "empty").when(once(_normal(text), lambda low: _hits(low, PROCUREMENT_TERMS)) == 0, "wrong_document").otherwise("success")
 
 
 def without_stray_i(text: Column) -> Column:
@@ -72,50 +77,71 @@ def without_stray_i(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(^|[^A-Za-z])I([0-9])", "$1$2")
 
 
-def _found(text: Column, pattern: str) -> Column:
-    return text.rlike(pattern)
+def _where(low: Column, marks: tuple[str, ...], text: Column, pattern: str) -> Column:
+    """What the pattern matches in the text, '' for nothing; only texts with one of its lead words are searched."""
+    held = F.lit(False)
+    for m in marks:
+        held = held | F.contains(low, F.lit(m))
+    return F.when(held, F.regexp_extract(text, pattern, 0)).otherwise("")
+
+
+def _part(match: Column, pattern: str, group: int) -> Column:
+    """A group of a match; the pattern looks at nothing outside it, so it matches there again alike."""
+    return F.regexp_extract(match, pattern, group)
+
 
+#: (kind, lead words, pattern, description of the match) of each requirement.
+ELIGIBILITY = (
+    ("experience", ("min",), EXPERIENCE, lambda m: F.concat(F.lit("Minimum "), _part(m, EXPERIENCE, 1), F.lit(" years experience"))),
+    ("turnover", ("turnover",), TURNOVER, lambda m: F.concat_ws(" ", F.lit("Minimum turnover"), _part(m, TURNOVER, 1), _part(m, TURNOVER, 2))),
+    ("tax", ("gst", "goods and services tax"), TAX, lambda m: F.lit("Valid GST registration")),
+    ("msme", ("udyam", "msme"), MSME, lambda m: F.lit("Udyam/MSME registration information")),
+    ("identity", ("pan",), IDENTITY, lambda m: F.lit("PAN information")),
+)
+TECHNICAL = (
+    ("delivery", ("delivery", "completion"), DELIVERY, lambda m: F.concat_ws(" ", F.lit("Delivery/completion within"), _part(m, DELIVERY, 1), _part(m, DELIVERY, 2))),
+    ("bid_validity", ("bid validity", "validity of bid"), VALIDITY, lambda m: F.concat_ws(" ", F.lit("Bid validity:"), _part(m, VALIDITY, 1), _part(m, VALIDITY, 2))),
+    ("emd", ("emd", "earnest money deposit"), EMD, lambda m: F.concat_ws(" ", F.lit("EMD / Bid Security:"), _part(m, EMD, 1), _part(m, EMD, 2))),
+    ("certification", ("iso",), ISO, lambda m: F.concat(F.lit("ISO "), _part(m, ISO, 1), F.lit(" certification"))),
+    ("oem", ("oem", "original equipment manufacturer"), OEM, lambda m: F.lit("OEM authorization/certificate required")),
+)
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
 
+def _requirements(found: Column, rules: tuple, must: Column) -> Column:
+    listed = [F.when(found[kind] != "", F.struct(F.trim(said(found[kind])).alias("requirement"), F.lit(kind).alias("type"), must.alias("mandatory"))) for kind, _, _, said in rules]
+    return F.array_compact(F.array(*listed))
 
-def _requirement(held: Column, kind: str, description: Column, mandatory: Column) -> Column:
-    return F.when(held, F.struct(F.trim(description).alias("requirement"), F.lit(kind).alias("type"), mandatory.alias("mandatory")))
 
+def clauses(text: Column) -> Column:
+    """Struct of a text's match of each pattern and of ``mandatory``; the text is cleaned once and searched once a pattern."""
 
-def _mandatory(text: Column) -> Column:
-    return F.lower(text).rlike("mandatory|shall|must")
+    def search(t: Column) -> Column:
+        def matches(low: Column) -> Column:
+            found = [_where(low, marks, t, pattern).alias(kind) for kind, marks, pattern, _ in ELIGIBILITY + TECHNICAL]
+            return F.struct(*found, low.rlike("mandatory|shall|must").alias("mandatory"))
+
+        return once(F.lower(t), matches)
+
+    return once(without_stray_i(text), search)
+
+
+def requirements_of(found: Column) -> Column:
+    """(eligibility, technical): the requirements of ``clauses``."""
+    both = (_requirements(found, rules, found["mandatory"]).alias(name) for name, rules in (("eligibility", ELIGIBILITY), ("technical", TECHNICAL)))
+    return F.struct(*both)
 
 
 def eligibility_requirements(text: Column) -> Column:
-    t = without_stray_i(text)
-    must = _mandatory(t)
-    return F.array_compact(F.array(
-        _requirement(_found(t, EXPERIENCE), "experience", F.concat(F.lit("Minimum "), _part(t, EXPERIENCE, 1), F.lit(" years experience")), must),
-        _requirement(_found(t, TURNOVER), "turnover", F.concat_ws(" ", F.lit("Minimum turnover"), _part(t, TURNOVER, 1), _part(t, TURNOVER, 2)), must),
-        _requirement(_found(t, TAX), "tax", F.lit("Valid GST registration"), must),
-        _requirement(_found(t, MSME), "msme", F.lit("Udyam/MSME registration information"), must),
-        _requirement(_found(t, IDENTITY), "identity", F.lit("PAN information"), must),
-    ))
+    return once(clauses(text), lambda c: _requirements(c, ELIGIBILITY, c["mandatory"]))
 
 
 def technical_requirements(text: Column) -> Column:
-    t = without_stray_i(text)
-    must = _mandatory(t)
-    both = lambda lead, p: F.concat_ws(" ", F.lit(lead), _part(t, p, 1), _part(t, p, 2))
-    return F.array_compact(F.array(
-        _requirement(_found(t, DELIVERY), "delivery", both("Delivery/completion within", DELIVERY), must),
-        _requirement(_found(t, VALIDITY), "bid_validity", both("Bid validity:", VALIDITY), must),
-        _requirement(_found(t, EMD), "emd", both("EMD / Bid Security:", EMD), must),
-        _requirement(_found(t, ISO), "certification", F.concat(F.lit("ISO "), _part(t, ISO, 1), F.lit(" certification")), must),
-        _requirement(_found(t, OEM), "oem", F.lit("OEM authorization/certificate required"), must),
-    ))
+    return once(clauses(text), lambda c: _requirements(c, TECHNICAL, c["mandatory"]))
 
 
 def required_documents(text: Column) -> Column:
-    low = F.lower(without_stray_i(text))
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n)), F.lit(label)) for n, label in REQUIRED_DOCUMENTS]))
+    listed = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(n)), F.lit(label)) for n, label in REQUIRED_DOCUMENTS]))
+    return once(F.lower(without_stray_i(text)), listed)
 
 
 def important_dates(text: Column) -> Column:
@@ -129,29 +155,29 @@ def tender_title(text: Column) -> Column:
 
 
 def detected_documents(text: Column) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = []
-    for label, needles in DETECTED_DOCUMENTS.items():
-        held = F.lit(False)
-        for n in needles:
-            held = held | F.contains(low, F.lit(n))
-        found.append(F.when(held, F.lit(label)))
-    return F.array_compact(F.array(*found))
+    def listed(low: Column) -> Column:
+        found = []
+        for label, needles in DETECTED_DOCUMENTS.items():
+            held = F.lit(False)
+            for n in needles:
+                held = held | F.contains(low, F.lit(n))
+            found.append(F.when(held, F.lit(label)))
+        return F.array_compact(F.array(*found))
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), listed)
 
 
 def document_status(text: Column) -> Column:
     """valid, or wrong_document for under 40 characters besides space or no business term."""
     text = F.coalesce(text, F.lit(""))
     short = F.length(F.regexp_replace(text, r"\s+", "")) < 40
-    return F.when(short | (_hits(_normal(text), RELEVANCE_TERMS) == 0), "wrong_document").otherwise("valid")
+    return F.when(short | (once(_normal(text), lambda low: _hits(low, RELEVANCE_TERMS)) == 0), "wrong_document").otherwise("valid")
 
 
 def extract(docs: DataFrame, text_col: str = "text") -> DataFrame:
     t = F.col(text_col)
-    return docs.select(
-        "doc_id", relevance(t).alias("status"), tender_title(t).alias("title"), eligibility_requirements(t).alias("eligibility"), technical_requirements(t).alias("technical"),
-        required_documents(t).alias("documents"), important_dates(t).alias("dates"),
-    )
+    rows = docs.select("doc_id", relevance(t).alias("status"), tender_title(t).alias("title"), clauses(t).alias("c"), required_documents(t).alias("documents"), important_dates(t).alias("dates"))
+    return rows.select("doc_id", "status", "title", requirements_of(F.col("c")).alias("r"), "documents", "dates").select("doc_id", "status", "title", "r.eligibility", "r.technical", "documents", "dates")
 
 
 def eligibility(tenders: DataFrame, bidders: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidgraph.functions.ranks import running
 from bidgraph.operators.features import FEATURES
 from bidgraph.plans.storage import materialize
 
@@ -45,20 +45,20 @@ def scale(features: DataFrame, train: DataFrame | None = None, columns=FEATURES)
     return features.withColumns(out)
 
 
-def rank_percentiles(df: DataFrame, key: str, columns, parts: int = 64) -> DataFrame:
+def rank_percentiles(df: DataFrame, key: str, columns) -> DataFrame:
     """(key, name, percentile): rank / (n - 1) of each column, ties by the lowest rank, one row .5.
 
-    All columns are ranked in one range-partitioned pass: ranks inside a range, plus the rows of the
-    ranges before it.
+    The distinct values of all columns are ranked, with their counts, in one range-partitioned pass,
+    so a value that most rows have is one row of it.
     """
     cells = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("c")).select(key, "c.*")
-    ranged = materialize(cells.repartitionByRange(parts, "name", "value").withColumn("part", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("name", "part").agg(F.count("*").alias("rows"))
-    w = W.partitionBy("name").orderBy("part")
-    sizes = sizes.select("name", "part", F.coalesce(F.sum("rows").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("rows").over(W.partitionBy("name")).alias("n"))
-    inside = ranged.withColumn("place", F.rank().over(W.partitionBy("name", "part").orderBy("value")) - 1)
-    rank = (F.col("place") + F.col("before")) / (F.col("n") - 1)
-    return inside.join(sizes, ["name", "part"]).select(key, "name", F.when(F.col("n") > 1, rank).otherwise(0.5).alias("percentile"))
+    cells = materialize(cells, "cells")
+    values = cells.groupBy("name", "value").agg(F.count("*").alias("rows"))
+    ranked = materialize(running(values, [F.col("value")], {"upto": F.col("rows")}, within=("name",)), "ranked")
+    total = ranked.groupBy("name").agg(F.sum("rows").alias("n"))
+    places = ranked.join(total, "name").select(F.col("name").alias("of"), F.col("value").alias("at"), ((F.col("upto") - F.col("rows")) / (F.col("n") - 1)).alias("rank"), "n")
+    found = cells.join(places, (F.col("name") == F.col("of")) & F.col("value").eqNullSafe(F.col("at")))
+    return found.select(key, "name", F.when(F.col("n") > 1, F.col("rank")).otherwise(0.5).alias("percentile"))
 
 
 def orientation(df: DataFrame, key: str) -> DataFrame:
@@ -164,8 +164,7 @@ def probabilities(features: DataFrame, labels: DataFrame, edges: DataFrame, key:
 def metrics(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row from (label, score): counts, precision, recall, F1, ROC-AUC and average precision."""
     per = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum((1 - F.col("label")).cast("long")).alias("n"))
-    w = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = per.select("*", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    cum = running(per, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n")})
     hit = F.col("score") >= threshold
     s = cum.agg(
         F.coalesce(F.sum(F.when(hit, F.col("p"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("fp"), F.sum("p").alias("pos"), F.sum("n").alias("neg"),
@@ -184,9 +183,8 @@ def best_threshold(scored: DataFrame) -> DataFrame:
     cuts = scored.select(F.round("score", 4).alias("cut")).distinct().unionByName(scored.select(F.lit(0.5).alias("cut")).distinct()).distinct()
     per = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.count("*").alias("n")).select("score", "p", "n", F.lit(1).alias("kind"))
     marks = cuts.select(F.col("cut").alias("score"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(2).alias("kind"))
-    w = W.orderBy(F.desc("score"), "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     total = scored.agg(F.sum(F.col("label").cast("long")).alias("pos")).first()["pos"] or 0
-    run = per.unionByName(marks).select("score", "kind", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("flagged")).where("kind = 2")
+    run = running(per.unionByName(marks), [F.desc("score"), F.col("kind")], {"tp": F.col("p"), "flagged": F.col("n")}).where("kind = 2")
     f1 = run.select("score", F.round(F.when(F.col("flagged") + total > 0, 2 * F.col("tp") / (F.col("flagged") + total)).otherwise(0.0), 9).alias("f1"))
     best = f1.groupBy("f1").agg(F.median("score").alias("threshold"))
     return best.orderBy(F.desc("f1")).limit(1)

@@ -28,21 +28,30 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def clustering(edges: DataFrame) -> DataFrame:
-    """(id, clustering_coefficient): triangles by edges directed to the larger degree, so hubs open few wedges."""
-    per = degrees(edges).select("id", "neighbours")
-    e = edges.select("a", "b").join(per.select(F.col("id").alias("a"), F.col("neighbours").alias("da")), "a").join(per.select(F.col("id").alias("b"), F.col("neighbours").alias("db")), "b")
-    up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    e = materialize(e.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("hi")), "directed")
-    one, two = e.select("lo", F.col("hi").alias("x")), e.select("lo", F.col("hi").alias("y"))
-    wedge = one.join(two, "lo").where("x < y")
-    closing = e.select(F.least("lo", "hi").alias("x"), F.greatest("lo", "hi").alias("y"))
-    triangles = wedge.join(closing, ["x", "y"])
-    corners = triangles.select(F.explode(F.array("lo", "x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("t"))
+    """(id, clustering_coefficient).
+
+    Edges lead to the end of the larger degree, so that a node has at most sqrt(2 * edges) later
+    neighbours, kept as one array of numbers.  The ends of an edge close a triangle with each later
+    neighbour that they share; no wedge is ever a row.
+    """
+    per = materialize(degrees(edges).select("id", "neighbours").withColumn("n", F.monotonically_increasing_id()), "numbered")
+    e = edges.select("a", "b").where("a <> b")
+    for end in ("a", "b"):
+        e = e.join(per.select(F.col("id").alias(end), F.col("neighbours").alias(f"d{end}"), F.col("n").alias(f"n{end}")), end)
+    up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("na") < F.col("nb")))
+    e = materialize(e.select(F.when(up, F.col("na")).otherwise(F.col("nb")).alias("lo"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("hi")), "directed")
+    later = materialize(e.groupBy(F.col("lo").alias("n")).agg(F.collect_list("hi").alias("later")), "later")
+    both = e.join(later.select(F.col("n").alias("lo"), "later"), "lo").join(later.select(F.col("n").alias("hi"), F.col("later").alias("beyond")), "hi")
+    shared = both.select("lo", "hi", F.array_intersect("later", "beyond").alias("shared")).where(F.size("shared") > 0)
+    count = F.size("shared").cast("long").alias("t")
+    ends = shared.select(F.col("lo").alias("n"), count).unionByName(shared.select(F.col("hi").alias("n"), count))
+    third = shared.select(F.explode("shared").alias("n"), F.lit(1).cast("long").alias("t"))
+    corners = ends.unionByName(third).groupBy("n").agg(F.sum("t").alias("t"))
     d = F.col("neighbours")
-    return per.join(corners, "id", "left").select("id", F.when(d > 1, 2 * F.coalesce("t", F.lit(0)) / (d * (d - 1))).otherwise(0.0).alias("clustering_coefficient"))
+    return per.join(corners, "n", "left").select("id", F.when(d > 1, 2 * F.coalesce("t", F.lit(0)) / (d * (d - 1))).otherwise(0.0).alias("clustering_coefficient"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(id, pagerank): weighted, on undirected edges, until the L1 change is under n * tolerance."""
     spark = edges.sparkSession
     links = both_ways(edges)
@@ -64,7 +73,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 30, toleranc
     return rank
 
 
-def eigenvector(edges: DataFrame, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(id, eigenvector_centrality): weighted power iteration on A + I, of L2 norm 1."""
     links = materialize(both_ways(edges), "links")
     nodes = links.select(F.col("src").alias("id")).distinct()
@@ -90,17 +99,17 @@ def betweenness(edges: DataFrame, pivots: int = 150, exact_up_to: int = 400) ->
     n = nodes.count()
     k = n if n <= exact_up_to else pivots
     sources = nodes.orderBy(F.xxhash64("id"), "id").limit(k)
-    seen = materialize(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")), "level")
-    levels = [seen]
+    levels = [materialize(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")), "level")]
     while True:
         front = levels[-1]
         step = front.join(links, F.col("id") == F.col("src")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        new = step.join(seen.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(len(levels)).alias("dist"), "sigma")
+        # A neighbour of a level is in it, in the one before or in the next, so no older level is looked at.
+        seen = front.select("s", "id") if len(levels) == 1 else front.select("s", "id").unionByName(levels[-2].select("s", "id"))
+        new = step.join(seen, ["s", "id"], "left_anti").select("s", "id", F.lit(len(levels)).alias("dist"), "sigma")
         new = materialize(new, "level")
         if new.isEmpty():
             break
         levels.append(new)
-        seen = seen.unionByName(new)
     delta = levels[-1].select("s", "id", "sigma", F.lit(0.0).alias("delta"))
     total = None
     for upper in reversed(levels[:-1]):

@@ -1,9 +1,9 @@
 """Company pairs: shared tenders, prices, wins, officers, addresses and documents.
 
-The self-join on the tender is the largest shuffle of the library.  It carries amounts, winner and
-feed order, so that no second join on the tender is needed; the pair key then needs one exchange
-for the sums and the win order alike.  Adaptive execution splits tenders with very many bidders;
-``oversized_tenders`` reports them.
+The self-join on the tender is the largest shuffle of the library and is done once.  It carries the
+amounts alone and its rows are summed before the exchange by pair.  The order of wins needs no pairs
+of bidders: a tender's winner meets each of its other bidders, which is a row per lost bid.  Adaptive
+execution splits tenders with very many bidders; ``oversized_tenders`` reports them.
 """
 
 from __future__ import annotations
@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 from bidgraph.operators.graph import memberships
 
 
-def pair_rows(facts: DataFrame, dim: DataFrame) -> DataFrame:
-    """One row per tender and unordered company pair in it."""
-    f = facts.join(dim.select("tender", "winner", "tender_seq"), "tender", "left").where("company IS NOT NULL")
-    a = f.select("tender", "winner", "tender_seq", F.col("company").alias("company_a"), F.col("bid_amount").alias("amount_a"))
+def pair_rows(facts: DataFrame) -> DataFrame:
+    """One row per tender and unordered company pair in it, with the price gap."""
+    a = facts.select("tender", F.col("company").alias("company_a"), F.col("bid_amount").alias("amount_a"))
     b = facts.select("tender", F.col("company").alias("company_b"), F.col("bid_amount").alias("amount_b"))
     rows = a.join(b, (a.tender == b.tender) & (a.company_a < b.company_b)).drop(b.tender)
     base = F.greatest(F.abs("amount_a"), F.abs("amount_b"))
     known = F.col("amount_a").isNotNull() & F.col("amount_b").isNotNull() & (base != 0)
-    return rows.withColumn("gap", F.when(known, F.abs(F.col("amount_a") - F.col("amount_b")) / base))
+    return rows.select("tender", "company_a", "company_b", F.when(known, F.abs(F.col("amount_a") - F.col("amount_b")) / base).alias("gap"))
 
 
 def oversized_tenders(facts: DataFrame, limit: int = 3000) -> DataFrame:
@@ -36,9 +35,10 @@ def cobid_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("company_a", "company_b").agg(F.count("*").alias("shared_tenders"), F.avg("gap").alias("mean_price_gap"))
 
 
-def alternating_wins(rows: DataFrame) -> DataFrame:
+def alternating_wins(facts: DataFrame, dim: DataFrame) -> DataFrame:
     """(company_a, company_b, alternating_wins): changes of winner, in feed order, over tenders won by either."""
-    won = rows.where((F.col("winner") == F.col("company_a")) | (F.col("winner") == F.col("company_b")))
+    lost = facts.select("tender", "company").join(dim.where("winner IS NOT NULL").select("tender", "winner", "tender_seq"), "tender").where("company <> winner")
+    won = lost.select(F.least("company", "winner").alias("company_a"), F.greatest("company", "winner").alias("company_b"), "winner", "tender_seq")
     before = F.lag("winner").over(W.partitionBy("company_a", "company_b").orderBy("tender_seq"))
     return won.withColumn("before", before).groupBy("company_a", "company_b").agg(F.count_if(F.col("before") != F.col("winner")).alias("alternating_wins"))
 
@@ -60,9 +60,8 @@ def document_pairs(documents: DataFrame) -> DataFrame:
 
 def pair_features(resolved: DataFrame, facts: DataFrame, dim: DataFrame, documents: DataFrame | None = None, membership: DataFrame | None = None) -> DataFrame:
     """The ten pair features of every pair that met in a tender."""
-    rows = pair_rows(facts, dim)
     counts = facts.where("company IS NOT NULL").groupBy("company").agg(F.count("*").alias("n"))
-    out = cobid_pairs(rows).join(alternating_wins(rows), ["company_a", "company_b"], "left")
+    out = cobid_pairs(pair_rows(facts)).join(alternating_wins(facts, dim), ["company_a", "company_b"], "left")
     out = out.join(counts.select(F.col("company").alias("company_a"), F.col("n").alias("n_a")), "company_a").join(counts.select(F.col("company").alias("company_b"), F.col("n").alias("n_b")), "company_b")
 
     def beside(table: DataFrame, name: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidgraph.functions.clean import is_gst, is_pan, mask_account, mask_phone, person_slug
+from bidgraph.functions.ranks import numbered
 from bidgraph.functions.settings import SIGNAL_META
 
 #: Words in file names that stand for a required document.
@@ -267,16 +268,14 @@ def registry_check(bidders: DataFrame, registry: DataFrame, left_on: str, right_
 def number_submissions(new: DataFrame, existing: DataFrame) -> DataFrame:
     """Bidder ids of new submissions (company_name, seq): known names keep theirs, others count on.
 
-    Names are compared in lower case without outer spaces.  New ids are numbered within key
-    ranges, with the offsets of the ranges added, so no window runs over all rows at once.
+    Names are compared in lower case without outer spaces; new ids follow the order in which the
+    names were first submitted.
     """
     key = F.lower(F.trim("company_name"))
     known = existing.groupBy(key.alias("key")).agg(F.min("bidder_id").alias("bidder_id"))
     firsts = new.groupBy(key.alias("key")).agg(F.min("seq").alias("first_seq"))
-    fresh = firsts.join(known, "key", "left_anti").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(64)))
-    offsets = fresh.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    fresh = numbered(firsts.join(known, "key", "left_anti"), [F.col("first_seq"), F.col("key")], "place")
     top = existing.agg(F.coalesce(F.max(F.regexp_extract("bidder_id", r"(\d+)$", 1).cast("long")), F.lit(0)).alias("top")).first()["top"]
-    placed = fresh.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy("first_seq", "key"))).join(offsets.select("part", "before"), "part")
-    made = placed.select("key", F.concat(F.lit("B-"), (F.lit(top) + F.col("before") + F.col("place")).cast("string")).alias("bidder_id"))
+    made = fresh.select("key", F.concat(F.lit("B-"), (F.lit(top) + F.col("place")).cast("string")).alias("bidder_id"))
     ids = known.unionByName(made)
     return new.withColumn("key", key).join(ids, "key").drop("key").withColumn("status", F.lit("Needs Review"))

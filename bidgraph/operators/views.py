@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bidgraph.functions.ranks import numbered
 from bidgraph.operators.portfolio import display_code, portfolio_band
 
 
@@ -62,15 +63,11 @@ def cluster_signals(components: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def number_clusters(clusters: DataFrame) -> DataFrame:
-    """Ids CLU-01, CLU-02, ... by falling score: places inside ranges of the score plus the rows before each range."""
-    ranged = clusters.withColumn("range", F.floor(-F.col("score") / 5))
-    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(W.partitionBy("range").orderBy(F.desc("score"), "root"))
-    rows = ranged.withColumn("place", place).join(sizes.select("range", "before"), "range")
-    text = (F.col("place") + F.col("before")).cast("string")
+    """Ids CLU-01, CLU-02, ... by falling score, ties by root."""
+    text = F.col("place").cast("string")
     padded = F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
-    return rows.withColumn("cluster_id", F.concat(F.lit("CLU-"), padded)).drop("range", "place", "before")
+    rows = numbered(clusters, [F.desc("score"), F.col("root")], "place")
+    return rows.withColumn("cluster_id", F.concat(F.lit("CLU-"), padded)).drop("place")
 
 
 def narrative(edges: DataFrame) -> DataFrame:

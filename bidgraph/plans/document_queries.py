@@ -71,9 +71,10 @@ _TECHNICAL = {"delivery": D.DELIVERY, "bid_validity": D.VALIDITY, "emd": D.EMD,
 
 @query(f"SELECT doc_id, {_kinds('t', _ELIGIBLE)} AS eligibility, {_kinds('t', _TECHNICAL)} AS technical, regexp_extract(t, '{D.TURNOVER}', 1) AS turnover, regexp_matches(lower(t), 'mandatory|shall|must') AS mandatory FROM (SELECT doc_id, {_STRAY} AS t FROM filed)")
 def requirements(spark, folder):
-    t = F.col("text")
-    kinds = lambda c: F.transform(c, lambda r: r["type"])
-    return filed(spark, folder).select("doc_id", kinds(D.eligibility_requirements(t)).alias("eligibility"), kinds(D.technical_requirements(t)).alias("technical"), F.regexp_extract(D.without_stray_i(t), D.TURNOVER, 1).alias("turnover"), D._mandatory(D.without_stray_i(t)).alias("mandatory"))
+    kinds = lambda c: F.transform(c, lambda r: r["type"]).alias(c)
+    found = filed(spark, folder).select("doc_id", D.clauses(F.col("text")).alias("c"))
+    rows = found.select("doc_id", D.requirements_of(F.col("c")).alias("r"), F.regexp_extract("c.turnover", D.TURNOVER, 1).alias("turnover"), "c.mandatory")
+    return rows.select("doc_id", "r.eligibility", "r.technical", "turnover", "mandatory").select("doc_id", kinds("eligibility"), kinds("technical"), "turnover", "mandatory")
 
 
 @query("SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN contains(low, '{n}') THEN '{label}' END" for n, label in D.REQUIRED_DOCUMENTS) + f"], lambda x: x IS NOT NULL) AS documents FROM (SELECT doc_id, lower({_STRAY}) AS low FROM filed)")

@@ -35,12 +35,12 @@ def query(sql: str | None = None):
 
 def undirected(spark, folder, parts=None):
     rows, facts, dim = parts or core(spark, folder)
-    return materialize(graph.undirected(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts, dim)))), "undirected")
+    return materialize(graph.undirected(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts)))), "undirected")
 
 
 def projection(spark, folder, parts=None):
     rows, facts, dim = parts or core(spark, folder)
-    found = pairs.cobid_pairs(pairs.pair_rows(facts, dim))
+    found = pairs.cobid_pairs(pairs.pair_rows(facts))
     people, places = (pairs.attribute_pairs(graph.memberships(rows, k)) for k in ("person", "address"))
     return materialize(graph.company_projection(found, people, places), "projection")
 
@@ -90,7 +90,7 @@ def ego_seeds(rows):
 
 def egos(spark, folder):
     rows, facts, dim = core(spark, folder)
-    edges = materialize(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts, dim))), "edges")
+    edges = materialize(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts))), "edges")
     return graph.ego_network(edges, materialize(ego_seeds(rows), "seeds"), depth=2)
 
 

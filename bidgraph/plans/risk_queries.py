@@ -165,7 +165,7 @@ def graph_nodes(spark, folder):
 
 def _edges(parts) -> DataFrame:
     rows, facts, dim = parts
-    return graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts, dim)))
+    return graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts)))
 
 
 @query("SELECT src, dst, edge_type, weight FROM edges")
@@ -191,7 +191,7 @@ def undirected_projection(spark, folder):
 @query("SELECT a, b, weight::DOUBLE AS weight FROM projection")
 def company_projection(spark, folder):
     rows, facts, dim = core(spark, folder)
-    found = pairs.cobid_pairs(pairs.pair_rows(facts, dim))
+    found = pairs.cobid_pairs(pairs.pair_rows(facts))
     return graph.company_projection(found, pairs.attribute_pairs(graph.memberships(rows, "person")), pairs.attribute_pairs(graph.memberships(rows, "address")))
 
 

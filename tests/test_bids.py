@@ -116,7 +116,7 @@ def test_facts_and_pairs(spark):
     pair = pairs.pair_features(df, facts, dim).collect()
     assert len(pair) == 1 and pair[0].shared_tenders == 2 and pair[0].alternating_wins == 1 and pair[0].shared_directors == 1
     assert graph.ownership(df).count() == 2
-    edges = graph.edges(df, pairs.cobid_pairs(pairs.pair_rows(facts, dim)))
+    edges = graph.edges(df, pairs.cobid_pairs(pairs.pair_rows(facts)))
     nodes = graph.nodes(df, df)
     assert graph.schema_violations(edges, nodes).count() == 0
     hops, induced = graph.ego_network(edges, spark.createDataFrame([("C_C3",)], "id string"), depth=1)
@@ -131,7 +131,7 @@ def test_large_tender_is_whole(spark):
     n = 400
     df = identity.resolve(bids(spark, [(f"C{i}", "T1", 100.0 + i, None, None) for i in range(n)]))
     facts, dim = graph.bid_facts(df), graph.tender_dim(df)
-    assert pairs.cobid_pairs(pairs.pair_rows(facts, dim)).count() == n * (n - 1) // 2
+    assert pairs.cobid_pairs(pairs.pair_rows(facts)).count() == n * (n - 1) // 2
     assert pairs.oversized_tenders(facts, 300).first().bidders == n
 
 

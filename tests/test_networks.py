@@ -49,7 +49,7 @@ def ring(spark):
 
 def test_network_features_fire_their_signals(spark):
     rows, facts, dim = ring(spark)
-    met = pairs.cobid_pairs(pairs.pair_rows(facts, dim))
+    met = pairs.cobid_pairs(pairs.pair_rows(facts))
     people, places = (pairs.attribute_pairs(graph.memberships(rows, k)) for k in ("person", "address"))
     edges, everyone = materialize(graph.company_projection(met, people, places)), facts.selectExpr("company AS id").distinct()
     member = networks.memberships(everyone, edges)
