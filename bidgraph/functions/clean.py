@@ -23,6 +23,11 @@ GST = r"^\d{2}[A-Z]{5}\d{4}[A-Z]{1}[A-Z\d]{1}Z[A-Z\d]{1}$"
 PAN = r"^[A-Z]{5}\d{4}[A-Z]{1}$"
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def identifier(c: Column) -> Column:
     """Trimmed identifier, null where it is missing."""
     t = F.trim(c)
@@ -136,12 +141,17 @@ def _tokens(c: Column) -> Column:
 
 
 def company_key(cleaned: Column) -> Column:
-    kept = F.array_join(F.filter(_tokens(cleaned), lambda t: ~t.isin(*LEGAL_SUFFIXES)), " ")
-    return F.when(kept != "", kept).otherwise(cleaned)
+    """Without legal suffixes; a name of suffixes alone stays as it is."""
+    return _kept_or_whole(cleaned, lambda tokens: F.filter(tokens, lambda t: ~t.isin(*LEGAL_SUFFIXES)))
 
 
 def person_key(cleaned: Column) -> Column:
-    return F.array_join(F.array_sort(F.filter(_tokens(cleaned), lambda t: ~t.isin(*PERSON_TITLES))), " ")
+    """Sorted words without titles; a name of titles alone stays as it is."""
+    return _kept_or_whole(cleaned, lambda tokens: F.array_sort(F.filter(tokens, lambda t: ~t.isin(*PERSON_TITLES))))
+
+
+def _kept_or_whole(cleaned: Column, choose) -> Column:
+    return once(cleaned, lambda whole: once(F.array_join(choose(_tokens(whole)), " "), lambda kept: F.when(kept != "", kept).otherwise(whole)))
 
 
 def address_key(cleaned: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidgraph.functions.clean import once
+
 # Terms, needles and labels.
 PROCUREMENT_TERMS = (
     "tender", "request for proposal", "rfp", "bid", "bidder", "procurement", "government", "quotation", "eligibility", "gst", "pan",
@@ -50,11 +52,6 @@ DATES = r"(?i)\b([0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{1,2}\s+(?:Jan|Feb|
 DEFAULT_TITLE = "Extracted Tender"
 
 
-def once(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _hits(low: Column, terms: tuple[str, ...]) -> Column:
     total = F.lit(0)
     for t in terms:

@@ -31,8 +31,9 @@ def observations(bids: DataFrame, kind: str) -> DataFrame:
     """
     raw, name, prefix, key = KINDS[kind]
     spelt = bids.groupBy(F.col(raw).alias("raw"), F.col(name).alias("name")).agg(F.min("row_seq").alias("first_seq"), F.max("row_seq").alias("last_seq"))
-    ident, display = canonical(F.col("raw"), F.col("name"), prefix, key(base_clean(fold_accents(F.col("name")))))
-    out = spelt.select("raw", ident.alias("canonical"), display.alias("display"), "first_seq", "last_seq")
+    keyed = spelt.withColumn("key", key(base_clean(fold_accents(F.col("name")))))
+    ident, display = canonical(F.col("raw"), F.col("name"), prefix, F.col("key"))
+    out = keyed.select("raw", ident.alias("canonical"), display.alias("display"), "first_seq", "last_seq")
     return out.where("canonical IS NOT NULL AND raw IS NOT NULL")
 
 

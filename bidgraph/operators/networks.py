@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bidgraph.functions.ranks import numbered
 from bidgraph.plans.storage import discard, materialize
 
 
@@ -30,23 +31,21 @@ def degrees(edges: DataFrame) -> DataFrame:
 def clustering(edges: DataFrame) -> DataFrame:
     """(id, clustering_coefficient).
 
-    Edges lead to the end of the larger degree, so that a node has at most sqrt(2 * edges) later
-    neighbours, kept as one array of numbers.  The ends of an edge close a triangle with each later
-    neighbour that they share; no wedge is ever a row.
+    Nodes are numbered by their degree and edges lead to the larger number, so that a node opens at
+    most sqrt(2 * edges) wedges a side.  A wedge is looked up among the edges by one number made of
+    its ends.
     """
-    per = materialize(degrees(edges).select("id", "neighbours").withColumn("n", F.monotonically_increasing_id()), "numbered")
+    per = materialize(numbered(degrees(edges).select("id", "neighbours"), [F.col("neighbours"), F.col("id")], "n"), "numbered")
     e = edges.select("a", "b").where("a <> b")
     for end in ("a", "b"):
-        e = e.join(per.select(F.col("id").alias(end), F.col("neighbours").alias(f"d{end}"), F.col("n").alias(f"n{end}")), end)
-    up = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("na") < F.col("nb")))
-    e = materialize(e.select(F.when(up, F.col("na")).otherwise(F.col("nb")).alias("lo"), F.when(up, F.col("nb")).otherwise(F.col("na")).alias("hi")), "directed")
-    later = materialize(e.groupBy(F.col("lo").alias("n")).agg(F.collect_list("hi").alias("later")), "later")
-    both = e.join(later.select(F.col("n").alias("lo"), "later"), "lo").join(later.select(F.col("n").alias("hi"), F.col("later").alias("beyond")), "hi")
-    shared = both.select("lo", "hi", F.array_intersect("later", "beyond").alias("shared")).where(F.size("shared") > 0)
-    count = F.size("shared").cast("long").alias("t")
-    ends = shared.select(F.col("lo").alias("n"), count).unionByName(shared.select(F.col("hi").alias("n"), count))
-    third = shared.select(F.explode("shared").alias("n"), F.lit(1).cast("long").alias("t"))
-    corners = ends.unionByName(third).groupBy("n").agg(F.sum("t").alias("t"))
+        e = e.join(per.select(F.col("id").alias(end), F.col("n").alias(f"n{end}")), end)
+    e = materialize(e.select(F.least("na", "nb").alias("lo"), F.greatest("na", "nb").alias("hi")), "directed")
+    nodes = per.count()
+    number = "long" if nodes < 3_000_000_000 else "decimal(38,0)"
+    pair = lambda x, y: (F.col(x).cast(number) * nodes + F.col(y)).alias("pair")
+    wedge = e.select("lo", F.col("hi").alias("x")).join(e.select("lo", F.col("hi").alias("y")), "lo").where("x < y")
+    triangles = wedge.select("lo", "x", "y", pair("x", "y")).join(e.select(pair("lo", "hi")), "pair")
+    corners = triangles.select(F.explode(F.array("lo", "x", "y")).alias("n")).groupBy("n").agg(F.count("*").alias("t"))
     d = F.col("neighbours")
     return per.join(corners, "n", "left").select("id", F.when(d > 1, 2 * F.coalesce("t", F.lit(0)) / (d * (d - 1))).otherwise(0.0).alias("clustering_coefficient"))
 

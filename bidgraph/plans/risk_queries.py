@@ -54,7 +54,7 @@ def filed_documents(spark: SparkSession, folder: str, rows: DataFrame) -> DataFr
     """Each bid files one of the documents, by order and supplier number."""
     docs = table(spark, folder, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
     n = docs.agg(F.count("*").alias("n")).first()["n"]
-    spread = rows.withColumn("doc_id", (F.col("row_seq.l_orderkey") * 31 + F.col("supplier")) % max(1, n))
+    spread = rows.withColumn("doc_id", (F.col("l_orderkey") * 31 + F.col("supplier")) % max(1, n))
     return graph.submitted_documents(spread.join(docs, "doc_id").withColumn("document_hashes", F.array("hash")))
 
 
