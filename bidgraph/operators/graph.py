@@ -151,7 +151,13 @@ def ego_network(edge_table: DataFrame, seeds: DataFrame, depth: int = 2) -> tupl
     return reached, induced.select("seed", "src", "dst", "edge_type", "weight")
 
 
-def node_export(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
-    """(id, type, label, degree), parallel edges counted."""
+def node_export(node_table: DataFrame, edge_table: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, type, label, degree), parallel edges counted; of more than ``limit`` nodes those of the largest degree."""
     ends = edge_table.select(F.col("src").alias("id")).unionByName(edge_table.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    return node_table.join(ends, "id", "left").select("id", F.col("node_type").alias("type"), F.col("display").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    out = node_table.join(ends, "id", "left").select("id", F.col("node_type").alias("type"), F.col("display").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return out if limit is None else out.orderBy(F.desc("degree"), "id").limit(limit)
+
+
+def edge_export(edge_table: DataFrame, limit: int | None = None) -> DataFrame:
+    """(src, dst, edge_type, weight); of more than ``limit`` edges those of the largest weight."""
+    return edge_table if limit is None else edge_table.orderBy(F.desc("weight"), "src", "dst", "edge_type").limit(limit)

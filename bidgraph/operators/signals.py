@@ -21,10 +21,11 @@ def availability(resolved: DataFrame) -> DataFrame:
     return resolved.agg(seen(F.col("person").isNotNull()).alias("has_persons"), seen(F.col("address").isNotNull()).alias("has_addresses"), seen(F.col("bid_amount").isNotNull()).alias("has_amounts"), seen(is_winner(F.col("result"))).alias("has_winners"))
 
 
-def company_signals(features: DataFrame, settings, flags: dict | None = None, degree_cutoff: float = 0.0) -> DataFrame:
+def company_signals(features: DataFrame, settings, flags: dict | None = None, degree_cutoff: float = 0.0, clustered: bool = False) -> DataFrame:
     """Features with ``signals``: array of (code, severity, weight), and ``rule_score`` of the evaluable ones.
 
-    ``flags`` and ``degree_cutoff`` are one-row results, passed as values.
+    ``flags`` and ``degree_cutoff`` are one-row results, passed as values.  ``clustered``: the features
+    have communities, so rotation counts for the companies that are in one.
     """
     c, s = F.col, settings
     flags = flags or {"has_persons": True, "has_addresses": True, "has_amounts": True, "has_winners": True}
@@ -50,15 +51,22 @@ def company_signals(features: DataFrame, settings, flags: dict | None = None, de
     ]
     if "cluster_tenders" not in features.columns:
         features = features.withColumn("cluster_tenders", F.lit(0))
-    return _with_signals(features, [r for r in rules if r[1]], s.weights)
+    if clustered:  # a company without a community can't be judged for rotation
+        rules = [(code, F.col("community_size") > 0 if code == "WINNER_ROTATION" and known else known, *more) for code, known, *more in rules]
+    return _with_signals(features, [r for r in rules if r[1] is not False], s.weights)
 
 
 def _with_signals(rows: DataFrame, rules: list, weights: dict) -> DataFrame:
     fired = [F.when(F.coalesce(held, F.lit(False)), F.struct(F.lit(code).alias("code"), severity.cast("double").alias("severity"), F.lit(float(weights[code])).alias("weight"))) for code, _, held, severity in rules]
-    total = sum(weights[code] for code, *_ in rules)
     rows = rows.withColumn("signals", F.array_compact(F.array(*fired)))
+    # A rule counts in the denominator where it can be told, which may be known per row.
+    always = sum(weights[code] for code, known, *_ in rules if known is True)
+    total = F.lit(float(always))
+    for code, known, *_ in rules:
+        if known is not True:
+            total = total + F.when(known, float(weights[code])).otherwise(0.0)
     score = F.aggregate("signals", F.lit(0.0), lambda acc, x: acc + x["severity"] * x["weight"])
-    return rows.withColumn("rule_score", F.least(F.lit(1.0), score / total if total else F.lit(0.0)))
+    return rows.withColumn("rule_score", F.when(total > 0, F.least(F.lit(1.0), score / total)).otherwise(0.0))
 
 
 def tender_signals(features: DataFrame, settings) -> DataFrame:
@@ -97,7 +105,7 @@ def risk_level(score: Column) -> Column:
 def recommended_actions(signals: Column, score: Column, settings) -> Column:
     table = F.create_map(*[F.lit(x) for kv in RECOMMENDED_ACTIONS.items() for x in kv])
     by_code = F.array_distinct(F.array_compact(F.transform(signals, lambda s: F.try_element_at(table, s["code"]))))
-    more = F.when(score >= settings.alert_threshold, F.array(F.lit("Escalate to a human investigator for review."))).otherwise(F.array().cast("array<string>"))
+    more = F.when(score >= settings.alert_threshold, F.array(F.lit("Escalate to a human investigator; do not act on this score alone."))).otherwise(F.array().cast("array<string>"))
     return F.concat(by_code, more)
 
 
@@ -128,7 +136,8 @@ def score_tenders(signalled: DataFrame, facts: DataFrame, scores: DataFrame) ->
     """(tender, risk_score, risk_level): own signals and the riskiest bidder."""
     worst = facts.join(scores.select("company", "risk_score"), "company").groupBy("tender").agg(F.max("risk_score").alias("worst"))
     joined = signalled.join(worst, "tender", "left")
-    score = F.round(F.least(F.lit(1.0), 0.55 * F.col("own") + 0.45 * F.coalesce("worst", F.lit(0.0)) / 100) * 100, 2)
+    score = F.least(F.lit(1.0), 0.55 * F.col("own") + 0.45 * F.coalesce("worst", F.lit(0.0)) / 100) * 100
+    score = F.round(F.round(score, 6), 2)  # halves that sums of doubles miss by their last bits go up
     return joined.select("tender", "signals", score.alias("risk_score"), risk_level(score).alias("risk_level"))
 
 

@@ -87,7 +87,10 @@ def important_dates(spark, folder):
     return filed(spark, folder).select("doc_id", D.important_dates(F.col("text")).alias("dates"))
 
 
-@query()
+_TITLED = r"list_filter(list_transform(string_split_regex(t, '\r\n|\n|\r'), lambda x: trim(x)), lambda x: length(x) BETWEEN 5 AND 140 AND regexp_matches(lower(x), 'tender|request for proposal|rfp'))[1]"
+
+
+@query(f"SELECT doc_id, coalesce({_TITLED}, '{D.DEFAULT_TITLE}') AS title FROM (SELECT doc_id, {_STRAY} AS t FROM filed)")
 def tender_titles(spark, folder):
     return filed(spark, folder).select("doc_id", D.tender_title(F.col("text")).alias("title"))
 

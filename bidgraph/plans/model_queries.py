@@ -79,6 +79,8 @@ def score_metrics(spark, folder):
     return m.withColumns({c: F.round(c, 4) for c in ("precision", "recall", "f1", "roc_auc", "average_precision")})
 
 
-@query()
+@query("""WITH cuts AS (SELECT DISTINCT round(score, 4) AS cut FROM supplier_scores UNION SELECT 0.5),
+  f AS (SELECT cut, coalesce(round(2 * sum(label) FILTER (WHERE score >= cut) / (count(*) FILTER (WHERE score >= cut) + (SELECT sum(label) FROM supplier_scores)), 9), 0)::DOUBLE AS f1 FROM cuts, supplier_scores GROUP BY cut)
+  SELECT f1, median(cut)::DOUBLE AS threshold FROM f GROUP BY f1 ORDER BY f1 DESC LIMIT 1""")
 def score_threshold(spark, folder):
     return model.best_threshold(supplier_scores(spark, folder))

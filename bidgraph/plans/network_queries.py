@@ -66,10 +66,10 @@ def whole_features(spark, folder, parts=None, measures=("pagerank", "eigenvector
     return materialize(features.company_features(rows, facts, dim, met, SETTINGS, centrality, community), "features")
 
 
-def whole_signals(found):
-    """Signals of all features, with the cutoff of high centrality."""
+def whole_signals(found, flags=None):
+    """Signals of all features, with the cutoff of high centrality and what the data can tell."""
     cutoff = features.percentile_threshold(found, "degree_centrality", SETTINGS.high_degree_percentile).first()["cutoff"]
-    return signals.company_signals(found, SETTINGS, degree_cutoff=cutoff)
+    return signals.company_signals(found, SETTINGS, flags, degree_cutoff=cutoff, clustered=True)
 
 
 def whole_scores(spark, folder, parts=None):

@@ -56,9 +56,14 @@ def bidder_scores(spark, folder):
 
 
 def actions(spark, folder):
+    return actions_of(table(spark, folder, "events"))
+
+
+def actions_of(events):
+    """(bid_id, action_seq, new_status) of events, as a table or a stream."""
     kind = F.col("event_type")
     status = F.when(kind == "purchase", "Verified").when(kind == "error", "Flagged").otherwise("Needs Review")
-    return table(spark, folder, "events").select(F.concat(F.lit("BID-"), (F.col("user_id") % 500).cast("string")).alias("bid_id"), F.col("event_id").alias("action_seq"), status.alias("new_status"))
+    return events.select(F.concat(F.lit("BID-"), (F.col("user_id") % 500).cast("string")).alias("bid_id"), F.col("event_id").alias("action_seq"), status.alias("new_status"))
 
 
 @query("SELECT tender_id, bid_id, bidder_id, bid_amount FROM lowest")
@@ -172,7 +177,10 @@ def latest_audit(spark, folder):
     return actions(spark, folder).orderBy(F.desc("action_seq")).limit(15)
 
 
-@query()
+@query("""SELECT tender_id, list_reduce(list_prepend('Draft', list(action ORDER BY seq)), lambda status, action: CASE
+    WHEN action = 'publish' AND status = 'Draft' THEN 'Open' WHEN action = 'close' AND status = 'Open' THEN 'Closed' WHEN action = 'withdraw' AND status NOT IN ('Awarded', 'Closed') THEN 'Withdrawn'
+    WHEN action = 'award' AND status IN ('Open', 'Closed') THEN 'Awarded' WHEN action = 'remove' AND status IN ('Draft', 'Withdrawn') THEN 'Removed' ELSE status END) AS status, count(*) AS actions
+  FROM (SELECT 'T' || user_id AS tender_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'publish' WHEN 'view' THEN 'close' WHEN 'error' THEN 'withdraw' WHEN 'purchase' THEN 'award' ELSE 'remove' END AS action FROM events) GROUP BY tender_id""")
 def tender_lifecycle(spark, folder):
     kind = F.col("event_type")
     action = F.when(kind == "signup", "publish").when(kind == "view", "close").when(kind == "error", "withdraw").when(kind == "purchase", "award").otherwise("remove")
@@ -187,7 +195,10 @@ def registry_verification(spark, folder):
     return portfolio.registry_check(market.bidders(spark, folder), companies, "company_name", "s_name", F.col("s_acctbal") > 0, ("Verified", "Needs Review", "Not Found"))
 
 
-@query()
+@query(r"""WITH asked AS (SELECT c_custkey AS seq, CASE WHEN c_custkey % 3 = 0 THEN '  SUPPLIER#' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') ELSE c_name END AS company_name FROM customer),
+  known AS (SELECT lower(trim(company_name)) AS key, min(bidder_id) AS bidder_id FROM bidders GROUP BY 1), firsts AS (SELECT lower(trim(company_name)) AS key, min(seq) AS first_seq FROM asked GROUP BY 1),
+  made AS (SELECT key, 'B-' || ((SELECT max(CAST(regexp_extract(bidder_id, '(\d+)$', 1) AS BIGINT)) FROM bidders) + row_number() OVER (ORDER BY first_seq, key)) AS bidder_id FROM firsts WHERE key NOT IN (SELECT key FROM known))
+  SELECT company_name, seq, bidder_id, 'Needs Review' AS status FROM asked JOIN (SELECT * FROM known UNION ALL SELECT * FROM made) ids ON lower(trim(company_name)) = key""")
 def new_submissions(spark, folder):
     """Customers submit bids under their own and under suppliers' names."""
     c = table(spark, folder, "customer")

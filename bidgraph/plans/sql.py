@@ -158,6 +158,10 @@ CTE: dict[str, str] = {
 }
 
 
+#: Parts that refer to themselves.
+RECURSIVE = {"registry_reach"}
+
+
 def with_tables(final: str) -> str:
     """``final`` after a WITH clause of the parts that it uses, directly or through others."""
     import re
@@ -173,6 +177,10 @@ def with_tables(final: str) -> str:
     visit(final)
     parts = [f"{name} AS ({body.strip()})" for name, body in CTE.items() if name in used]
     final = final.strip()
+    if parts and final.startswith("WITH ") and not final.startswith("WITH RECURSIVE "):
+        return "WITH " + ",\n".join([*parts, final.removeprefix("WITH ")])
+    if used & RECURSIVE and not final.startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final
     if final.startswith("WITH RECURSIVE "):
         return "WITH RECURSIVE " + ",\n".join([*parts, final.removeprefix("WITH RECURSIVE ")])
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + final

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from bidgraph.plans.portfolio_queries import actions_of
 from bidgraph.plans.storage import new_path
 from bidgraph.plans.tables import table
 from bidgraph.streaming import jobs
@@ -12,15 +14,16 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _run(spark, df, mode: str):
-    """Write a streaming result to the shared folder and read it back."""
+def _run(spark, df, mode: str, epochs: bool = False):
+    """Write a streaming result to the shared folder and read it back; with the number of its batch if ``epochs``."""
     out, state = new_path(spark, "stream"), new_path(spark, "stream-state")
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", out).start().awaitTermination()
     else:
         writer.foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    schema = T.StructType([*df.schema.fields, T.StructField("epoch", T.IntegerType())]) if epochs else df.schema
+    return spark.read.schema(schema).parquet(out)
 
 
 def _events(spark, folder):
@@ -31,8 +34,38 @@ def _events(spark, folder):
 
 
 def stream_rate_limit(spark, folder):
-    """Attempts per user and hour, over 10 flagged; the last windows stay open behind the watermark."""
-    return _run(spark, jobs.over_limit(_events(spark, folder), "user_id", window="1 hour", delay="0 seconds"), "append")
+    """Attempts per user and hour, over 10 flagged.
+
+    Every update of a window is written and the last one counts, so the windows that are still open
+    are there too, as of now.
+    """
+    counted = jobs.over_limit(_events(spark, folder), "user_id", window="1 hour", delay="10 minutes")
+    updates = _run(spark, counted, "update", epochs=True)
+    return updates.groupBy("user_id", "start").agg(F.max_by(F.struct("attempts", "limited"), "epoch").alias("last")).select("user_id", "start", "last.attempts", "last.limited")
+
+
+def stream_ingest(spark, folder):
+    """Bids read as a stream, validated, without repeats."""
+    raw = _events(spark, folder).select(F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("company_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("tender_id"), F.col("value").cast("string").alias("bid_amount"), "ts")
+    valid, _ = jobs.submissions(raw, delay="3650 days")
+    return _run(spark, valid.select("company_id", "tender_id"), "append")
+
+
+def stream_upsert(spark, folder):
+    """The newest event of each user, kept by an upsert."""
+    events = _events(spark, folder).select("user_id", "event_id", "event_type")
+    out, state = new_path(spark, "upsert"), new_path(spark, "stream-state")
+    sink = jobs.upsert_sink(out, ["user_id"], "event_id")
+    events.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    return jobs.upserted(spark, out, events.schema)
+
+
+def stream_status(spark, folder):
+    """The status that verification actions leave, read as a stream; the table's file is one batch."""
+    steps = actions_of(_events(spark, folder))
+    out, state = new_path(spark, "status"), new_path(spark, "stream-state")
+    steps.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(jobs.status_sink(out)).start().awaitTermination()
+    return spark.read.schema("bid_id string, status string").parquet(f"{out}/status/0")
 
 
 def stream_running_best(spark, folder):
@@ -41,5 +74,9 @@ def stream_running_best(spark, folder):
     return _run(spark, jobs.running_tenders(bids), "complete").select("tender_id", "best_bid", "bids", "bidders")
 
 
-QUERIES |= {"stream_rate_limit": stream_rate_limit, "stream_running_best": stream_running_best}
+QUERIES |= {f.__name__: f for f in (stream_rate_limit, stream_running_best, stream_ingest, stream_upsert, stream_status)}
+ORACLE_SQL["stream_rate_limit"] = "SELECT user_id, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS start, count(*) AS attempts, count(*) > 10 AS limited FROM events GROUP BY 1, 2"
+ORACLE_SQL["stream_ingest"] = "SELECT DISTINCT 'S' || user_id AS company_id, event_type AS tender_id FROM events WHERE event_type <> 'error' AND (value IS NULL OR value > 0)"
+ORACLE_SQL["stream_upsert"] = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"
+ORACLE_SQL["stream_status"] = "SELECT bid_id, arg_max(new_status, action_seq) AS status FROM (SELECT 'BID-' || (user_id % 500) AS bid_id, event_id AS action_seq, CASE event_type WHEN 'purchase' THEN 'Verified' WHEN 'error' THEN 'Flagged' ELSE 'Needs Review' END AS new_status FROM events) GROUP BY bid_id"
 ORACLE_SQL["stream_running_best"] = "SELECT user_id AS tender_id, min(value) AS best_bid, count(*) AS bids, count(DISTINCT event_type) AS bidders FROM events GROUP BY user_id"

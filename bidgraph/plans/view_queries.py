@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidgraph.operators import documents, features, networks, pairs, portfolio, signals, views
+from bidgraph.plans import document_queries as D
 from bidgraph.plans import portfolio_queries as P
 from bidgraph.plans.document_queries import filed
 from bidgraph.plans.network_queries import whole_scores
@@ -117,7 +118,13 @@ def risk_report(spark, folder):
     return views.risk_report(P.bidder_scores(spark, folder)).select("band", "bidders", r4("mean_score"), r4("share"))
 
 
-@query()
+_LISTED = "list_filter([" + ", ".join(f"CASE WHEN contains(low, '{n}') THEN '{label}' END" for n, label in documents.REQUIRED_DOCUMENTS) + "], lambda x: x IS NOT NULL)"
+_SEEN = "list_filter([" + ", ".join(f"CASE WHEN {D._any('low', words)} > 0 THEN '{label}' END" for label, words in documents.DETECTED_DOCUMENTS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH wanted AS (SELECT doc_id // 4 AS key, unnest({_LISTED}) AS requirement FROM (SELECT doc_id, lower({D._STRAY}) AS low FROM filed)),
+  seen AS (SELECT DISTINCT doc_id // 4 AS key, unnest({_SEEN}) AS requirement FROM (SELECT doc_id, lower(text) AS low, {D._NORMAL} AS normal, length(regexp_replace(text, '\\s+', '', 'g')) AS n FROM filed) WHERE n >= 40 AND {D._any('normal', documents.RELEVANCE_TERMS)} > 0)
+  SELECT w.key, w.requirement, s.key IS NOT NULL AS matched FROM wanted w LEFT JOIN seen s ON w.key = s.key AND w.requirement = s.requirement""")
 def evidence_match(spark, folder):
     """Required documents of every fourth document's group against what its documents were detected as."""
     key = F.floor(F.col("doc_id") / 4).alias("key")

@@ -80,6 +80,29 @@ def validate(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, seen.where(F.size("errors") > 0).select(*[F.col(f"`{x}`") for x in raw.columns], "errors")
 
 
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejects) of a file of bids; an error if it has no valid row."""
+    valid, rejects = validate(read_path(spark, path))
+    if valid.isEmpty():
+        raise ValueError("no valid bid records; first problems: " + "; ".join(r.message for r in messages(rejects, 3).collect()))
+    return valid, rejects
+
+
+def messages(rejects: DataFrame, limit: int = 25) -> DataFrame:
+    """(message): the first problems in the order of their texts, at most ``limit``."""
+    ids = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in REQUIRED if c in rejects.columns]
+    rows = rejects.select(F.concat_ws(" ", *ids, F.array_join("errors", ", ")).alias("message"))
+    return rows.orderBy("message").limit(limit)
+
+
+def one_source(path: str | None = None, rows: DataFrame | None = None) -> str:
+    """Which of the two inputs is given; an error unless it is exactly one."""
+    given = [name for name, value in (("path", path), ("rows", rows)) if value is not None]
+    if len(given) != 1:
+        raise ValueError("give exactly one of path and rows")
+    return given[0]
+
+
 def report(valid: DataFrame, rejects: DataFrame) -> DataFrame:
     """One row: totals, label counts and warnings."""
     v = valid.agg(F.count("*").alias("valid"), F.count_if(F.col("label") == 1).alias("positive"), F.count_if(F.col("label") == 0).alias("negative"), F.count("bid_amount").alias("amounts"), F.count("person_id").alias("persons"), F.count("address").alias("addresses"))

@@ -57,4 +57,8 @@ def test_streams(spark, tmp_path):
     up = jobs.upsert_sink(str(tmp_path / "u"), ["bid_id"], "action_seq")
     up(steps, 0)
     up(spark.createDataFrame([("c", 1, "x")], steps.schema), 1)
-    assert spark.read.parquet(str(tmp_path / "u/1")).count() == 2
+    up(spark.createDataFrame([("b", 5, "y"), ("b", 4, "z")], steps.schema), 7)
+    held = lambda: sorted(map(tuple, jobs.upserted(spark, str(tmp_path / "u"), steps.schema).collect()))
+    assert held() == [("b", 5, "y"), ("c", 1, "x")]
+    up(spark.createDataFrame([("b", 5, "y"), ("b", 4, "z")], steps.schema), 7)
+    assert held() == [("b", 5, "y"), ("c", 1, "x")]
