@@ -10,7 +10,9 @@ Plan
 2. Every bucket compares its smallest member with the others (a star, linear in the bucket).
    Candidates pass the signature estimate and are then confirmed on the full sets.
 3. Buckets whose members still lie in different components are compared in blocks of bounded
-   size, members of one component never with each other.  No candidate is left out.
+   size, members of one component never with each other.  Blocks first hold no texts but sharper
+   signatures; texts go only to members that have a candidate in a block by these, and only links
+   leave it.  No candidate is left out.
 4. Components of the confirmed links; each document takes the smallest id of its component.
 
 Defined cases: a null text counts as empty; empty sets are linked with nothing; rows with a null
@@ -34,8 +36,9 @@ from bidgraph.plans.storage import discard, materialize
 
 BANDS, ROWS = 40, 5
 #: A pair of Jaccard similarity 0.8 shares no band once in 8 million pairs: (1 - 0.8**5)**40.
-SIGNATURE_SLACK = 0.14  # five standard deviations of the estimate from BANDS * ROWS minima
-BLOCK = 256  # members of a bucket compared at once
+SHARP = 1024  # minima in the signatures that blocks compare
+DEVIATIONS = 5  # standard deviations by which an estimate may lie below the limit
+BLOCK = 1024  # members of a bucket compared at once
 
 _UPPER = bytes(range(256)).translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
 _WORD_MEMO = 400_000  # distinct words whose hash a task keeps
@@ -106,6 +109,24 @@ def _fingerprint(width: int, bands: int, rows: int):
     return fingerprint
 
 
+def _sharper(width: int):
+    a, b = _coefficients(SHARP)
+
+    @F.pandas_udf(T.BinaryType())
+    def sharper(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo = _WordHash()
+        for texts in batches:
+            yield pd.Series([_minima(shingle_hashes(t, width, memo), a, b).astype(np.uint8).tobytes() for t in texts], dtype=object)
+
+    return sharper
+
+
+def _least(percent: int, minima: int) -> float:
+    """The estimate from so many minima below which a pair of ``percent`` lies once in millions."""
+    share = percent / 100
+    return share - DEVIATIONS * (max(share * (1 - share), 0.01) / minima) ** 0.5
+
+
 def _signature_share(left: pd.Series, right: pd.Series) -> np.ndarray:
     """Estimated similarity from the signatures' equal bytes, corrected for chance."""
     if not len(left):
@@ -135,11 +156,11 @@ def _confirm(width: int, percent: int):
     return confirm
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, percent: int, minima: int) -> DataFrame:
     """Those pairs (a, b) that are links: by signature and then on full sets."""
     left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sig_a"))
     right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sig_b"))
-    pairs = pairs.join(left, "a").join(right, "b").where(_estimate("sig_a", "sig_b") >= percent / 100 - SIGNATURE_SLACK).select("a", "b")
+    pairs = pairs.join(left, "a").join(right, "b").where(_estimate("sig_a", "sig_b") >= _least(percent, minima)).select("a", "b")
     pairs = materialize(pairs.distinct(), "pairs")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -148,38 +169,71 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     return links
 
 
-def _block_links(width: int, percent: int):
-    """Links of one block between members of different components.
+def _block_pairs(block: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place in the first side, candidates in the second) of members of different components.
 
-    A pair that shares several bands is compared in the first of them only, on signatures and then
-    on full sets.  Only links leave the block.
+    A pair that shares several bands is a candidate in the first of them only.  A block of one side
+    compares it with itself, each pair once.
     """
+    one, other = _sides(block)
+    if not len(one):
+        return
+    sharp = np.frombuffer(b"".join(other.sharp), np.uint8).reshape(len(other), -1)
+    bands, roots, reps = np.vstack(other.bands.to_list()), other.root.to_numpy(), other.rep.to_numpy()
+    least = _least(percent, SHARP)
+    for k, (rep, root, band, own, mine) in enumerate(one[["rep", "root", "band", "bands", "sharp"]].itertuples(index=False)):
+        found = np.flatnonzero((roots != root) & (reps > rep) if other is one else roots != root)
+        found = found[(bands[found] == own).argmax(axis=1) == band] if len(found) else found
+        if len(found):
+            equal = (sharp[found] == np.frombuffer(mine, np.uint8)).mean(axis=1)
+            found = found[(equal - 1 / 256) / (1 - 1 / 256) >= least]
+        if len(found):
+            yield k, found
+
+
+_MEMBER = ["bucket", "i", "j", "side", "rep", "root", "band"]
+
+
+def _sides(block: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    one, other = block[block.side == 0], block[block.side == 1]
+    return one, other if len(other) else one
+
+
+def _block_candidates(percent: int):
+    """The members of a block that have a candidate in it by their sharper signatures."""
+
+    def candidates(block: pd.DataFrame) -> pd.DataFrame:
+        one, other = _sides(block)
+        left, right = np.zeros(len(one), bool), np.zeros(len(other), bool)
+        for k, found in _block_pairs(block, percent):
+            left[k] = right[found] = True
+        if other is one:
+            left = right = left | right
+        hits = [one[left]] if other is one else [one[left], other[right]]
+        return pd.concat([h[_MEMBER] for h in hits]).drop_duplicates()
+
+    return candidates
+
+
+def _block_links(width: int, percent: int):
+    """Links of one block: its candidates, confirmed on full sets.  Only links leave the block."""
 
     def compare(block: pd.DataFrame) -> pd.DataFrame:
         memo, found = _WordHash(), []
-        one, other = block[block.side == 0], block[block.side == 1]
-        if not len(other):
-            other = one
+        one, other = _sides(block)
         if len(one):
             sets = [shingle_hashes(t, width, memo) for t in other.text]
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-            sigs = np.frombuffer(b"".join(other.signature), np.uint8).reshape(len(other), -1)
-            bands = np.vstack(other.bands.to_list())
-            roots, reps = other.root.to_numpy(), other.rep.to_numpy()
-        for rep, root, band, own, sig, text in one[["rep", "root", "band", "bands", "signature", "text"]].itertuples(index=False):
-            apart = roots != root
-            if other is one:
-                apart &= reps > rep
-            apart[apart] = ((sigs[apart] == np.frombuffer(sig, np.uint8)).mean(axis=1) - 1 / 256) / (1 - 1 / 256) >= percent / 100 - SIGNATURE_SLACK
-            apart[apart] = (bands[apart] == own).argmax(axis=1) == band
-            if apart.any():
-                mine = shingle_hashes(text, width, memo)
-                some = np.flatnonzero(apart[owner])
-                at = np.minimum(np.searchsorted(mine, values[some]), len(mine) - 1)
-                both = np.bincount(owner[some[mine[at] == values[some]]], minlength=len(reps))
-                linked = apart & (both > 0) & (100 * both >= percent * (sizes + len(mine) - both))
-                found += [(min(rep, r), max(rep, r)) for r in reps[linked]]
+            reps, texts, ids = other.rep.to_numpy(), one.text.to_list(), one.rep.to_list()
+        for k, some in _block_pairs(block, percent):
+            mine, wanted = shingle_hashes(texts[k], width, memo), np.zeros(len(sets), bool)
+            wanted[some] = True
+            rows = np.flatnonzero(wanted[owner])
+            at = np.minimum(np.searchsorted(mine, values[rows]), len(mine) - 1)
+            both = np.bincount(owner[rows[mine[at] == values[rows]]], minlength=len(sets))
+            linked = wanted & (both > 0) & (100 * both >= percent * (sizes + len(mine) - both))
+            found += [(min(ids[k], r), max(ids[k], r)) for r in reps[linked]]
         return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
     return compare
@@ -197,12 +251,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = materialize(member.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("size")).where("size > 1 AND first < last"), "buckets")
     shared = materialize(member.join(buckets, "bucket").select("bucket", "band", "rep", "first", "size"), "members")
     star = shared.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verified(star, classes, texts, width, percent)
+    links = _verified(star, classes, texts, width, percent, bands * rows)
 
     member_of = some.select("id", "set_id").join(classes.select("set_id", "rep"), "set_id").select("id", "rep")
     member_of = materialize(member_of.distinct(), "member_of")
-    repeated = member_of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps")).where("a < last")
-    repeated = materialize(repeated.select("a", F.explode("reps").alias("b")).where("a <> b"), "repeated")
+    several = member_of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last")
+    repeated = materialize(several.join(member_of, "id").where("rep <> a").select("a", F.col("rep").alias("b")), "repeated")
     edges = links.unionByName(repeated)
     roots = connected_components(edges)
 
@@ -211,21 +265,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unsettled = materialize(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high AND bucket IS NOT NULL").select("bucket"), "unsettled")
     left = materialize(placed.where("size > 2").join(unsettled, "bucket"), "left")
     needed = materialize(left.select(F.col("rep").alias("id")).distinct(), "needed")
-    held = materialize(texts.join(needed, "id").withColumnRenamed("id", "rep").join(classes.select("rep", "bands", "signature"), "rep"), "held")
-    left = left.join(held, "rep")
+    held = texts.join(needed, "id").select(F.col("id").alias("rep"), "text", _sharper(width)("text").alias("sharp"))
+    held = materialize(held.join(classes.select("rep", "bands"), "rep"), "held")
     # Block numbers come from a hash, so a bucket of any size is dealt to blocks without ranking it.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("own", own)
-    dealt = left.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "root", "band", "bands", "signature", "text")
-    more = materialize(dealt.groupBy("bucket", "i", "j").applyInPandas(_block_links(width, percent), "a long, b long"), "more")
+    dealt = left.join(held.drop("text"), "rep").withColumn("blocks", blocks).withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "rep", "root", "band", "bands", "sharp")
+    key = ["bucket", "i", "j"]
+    chosen = materialize(dealt.groupBy(*key).applyInPandas(_block_candidates(percent), "bucket long, i int, j int, side int, rep long, root long, band int"), "chosen")
+    more = materialize(chosen.join(held, "rep").groupBy(*key).applyInPandas(_block_links(width, percent), "a long, b long"), "more")
     final = roots if more.isEmpty() else connected_components(edges.unionByName(more))
 
     by_id = member_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     by_id = materialize(by_id.groupBy("id").agg(F.min("root").alias("root")), "by_id")
-    for table in (shared, buckets, placed, unsettled):
-        discard(spark, table)
+    discard(spark, classes, buckets, shared, links, member_of, repeated, roots, final, placed, unsettled, left, needed, held, chosen, more)
     ids = prints.select("id", "n_shingles").join(by_id, "id", "left")
     component = F.coalesce("root", "id")
     return ids.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
