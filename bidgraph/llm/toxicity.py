@@ -5,8 +5,12 @@ the probabilities of the earlier categories.  Later models are trained with out-
 predictions of the earlier ones, so they learn from what they will see.  Words and word beginnings
 enter as features when they are tied to a category beyond chance in a bounded labelled sample.
 
-Category labels: ``insult`` and ``contempt`` hold for toxic rows with a seed word of theirs,
-``toxic`` is the label itself and the last of the chain.
+Categories: ``toxic`` is the label itself and the last of the chain.  There is no finer label, so
+``severe`` and ``strong`` are degrees of it in any language: toxic rows that hold more of the tied
+features than two thirds, or one third, of the toxic rows that hold any.
+
+Limits: the chain is fitted on at most SAMPLE_ROWS labelled documents and has the MAX_FEATURES
+features of the largest z of all that pass LEAST_Z; ties of z go by name.
 
 Defined cases: a null or empty text has no features and gets the probabilities of none; with
 labels of one class only, or none, every probability is the share of that label (0 without
@@ -30,12 +34,8 @@ from bidgraph.llm.text_stats import labelled_sample
 SAMPLE_ROWS = 20_000  # labelled documents that select the features and fit the chain
 MAX_FEATURES, LEAST_Z, LEAST_ROWS = 400, 6.0, 4
 FOLDS, RIDGE = 5, 0.3
-#: Seed words of the categories.
-SEEDS = {
-    "insult": ("idiot", "moron", "clown", "loser", "scum", "fool", "jerk"),
-    "contempt": ("stupid", "worthless", "pathetic", "disgusting", "trash", "garbage", "dumb"),
-}
-CATEGORIES = (*SEEDS, "toxic")
+DEGREES = {"severe": 2 / 3, "strong": 1 / 3}
+CATEGORIES = (*DEGREES, "toxic")
 BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -145,24 +145,29 @@ def _choose(sample: DataFrame) -> tuple[str, ...]:
     return tuple(sorted(r.feature for r in top.select("feature").collect()))
 
 
+def degrees(n: np.ndarray, toxic: np.ndarray) -> list[np.ndarray]:
+    """A 0/1 label per degree of rows with ``n`` tied features."""
+    some = n[(toxic > 0) & (n > 0)]
+    return [toxic * (n > (np.quantile(some, share) if len(some) else 0)) for share in DEGREES.values()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Chain:
     sample = labelled_sample(docs, labels, "toxic", bound).persist()
     chosen = _choose(sample)
-    lookup, seeds = Lookup(chosen), SEEDS
+    lookup = Lookup(chosen)
 
-    @F.pandas_udf(T.StructType([T.StructField("held", T.ArrayType(T.IntegerType())), T.StructField("seeded", T.ArrayType(T.IntegerType()))]))
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        words = [set(_WORD.findall((t or "").lower())) for t in texts]
-        return pd.DataFrame({"held": [lookup.indices(t) for t in texts], "seeded": [[int(bool(w & set(s))) for s in seeds.values()] for w in words]})
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode(texts: pd.Series) -> pd.Series:
+        return pd.Series([lookup.indices(t) for t in texts], dtype=object)
 
-    rows = sample.select("id", "y", encode("text").alias("e")).select("id", "y", "e.*").toPandas().sort_values("id")
+    rows = sample.select("id", "y", encode("text").alias("held")).toPandas().sort_values("id")
     sample.unpersist()
     if not len(rows) or rows.y.nunique() < 2:
         share = float(rows.y.mean()) if len(rows) else 0.0
         flat = np.array([np.log((share + 1e-9) / (1 - share + 1e-9))])
         return Chain((), tuple(np.concatenate([np.zeros(k), flat]) for k in range(len(CATEGORIES))), 0.5)
     toxic = (rows.y == 1).to_numpy(float)
-    y = np.column_stack([*(np.array([s[k] for s in rows.seeded]) * toxic for k in range(len(SEEDS))), toxic])
+    y = np.column_stack([*degrees(np.array([len(h) for h in rows.held]), toxic), toxic])
     return fit_chain([list(h) for h in rows.held], y, (rows.id % FOLDS).to_numpy(), chosen)
 
 
