@@ -4,13 +4,15 @@ Each rule is compiled to a regular expression and filed under the one of its lit
 the fewest URLs hold (counted over all URLs).  A URL's tokens fetch the rules filed under them;
 only those run their expressions.
 
-Rule lists up to ``broadcast_rules`` go to the tasks as one index and the URLs are judged in a
-single narrow pass.  Longer lists stay a table that is joined with the tokens of the distinct URLs.
-
-Defined cases: a null URL or one without ``://`` has an empty host and path and is allowed; equal
-rules and rows that repeat a URL get equal verdicts; ties of length go to the earlier rule; an
-empty rule list allows everything; other columns are kept, an older result column of the same name
-is replaced.
+Rules are a list or a table.  Up to ``broadcast_rules`` of them go to the tasks as one index and the
+URLs are judged in a single narrow pass.  More of them stay a table that is joined with the tokens
+of the distinct URLs; rules without a literal token, which have to be tried on every URL, are then
+tried in narrow passes of at most ``broadcast_rules`` of them.
+
+Defined cases: a null URL or one without ``://`` has an empty host and path and is allowed; null ids
+are kept; equal rules and rows that repeat a URL get equal verdicts; URLs of any length are judged
+whole; ties of length go to the earlier rule; an empty rule list allows everything; other columns
+are kept, an older result column of the same name is replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidgraph.plans.storage import materialize
+
 BROADCAST_RULES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = "[a-z0-9]+"
@@ -130,34 +134,102 @@ def _free(name: str, taken: list[str]) -> str:
     return name
 
 
-def judge_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[Rule] = BASE_RULES + PATTERN_RULES, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
-    """``pages`` with host, path, rule (a base rule's name), pattern and verdict."""
+def _compile(rows: pd.DataFrame) -> list[Rule]:
+    return [pattern_rule(r.verdict, r.pattern) if isinstance(r.pattern, str) else prefix_rule(r.verdict, r.host or "", r.path or "") for r in rows.itertuples(index=False)]
+
+
+_TABLE = "k long, name string, verdict string, regex string, tokens array<string>, is_base boolean, size int"
+
+
+def _table_rows(positions, rules: Sequence[Rule]) -> list[tuple]:
+    return [(int(k), r.name, r.verdict, r.regex, list(dict.fromkeys(r.tokens)), r.is_base, len(r.name)) for k, r in zip(positions, rules)]
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """Compiled rules of (position, verdict, host, path, pattern): a pattern, or else a host and a path prefix."""
+
+    def compiled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame(_table_rows(rows["position"], _compile(rows)), columns=[c.split()[0] for c in _TABLE.split(", ")])
+
+    return rules.select("position", "verdict", "host", "path", "pattern").mapInPandas(compiled, _TABLE)
+
+
+def _listed(table: DataFrame) -> list[Rule]:
+    return [Rule(r.name, r.verdict, r.regex, tuple(r.tokens), r.is_base) for r in table.orderBy("k").collect()]
+
+
+def judge_urls(pages: DataFrame, url_col: str = "url", rules: Sequence[Rule] | DataFrame = BASE_RULES + PATTERN_RULES, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+    """``pages`` with host, path, rule (a base rule's name), pattern and verdict.
+
+    ``rules``: a list, or a table as of ``rule_table``.
+    """
+    spark = pages.sparkSession
+    if isinstance(rules, DataFrame):
+        table = rules
+        rules = _listed(table) if table.count() <= broadcast_rules else None
+    else:
+        rules = list(rules)
+        table = spark.createDataFrame(_table_rows(range(len(rules)), rules), _TABLE)
+    if rules is None or len(rules) > broadcast_rules:
+        return _judge_by_join(pages, url_col, table, broadcast_rules)
+    host, path = host_and_path(F.col(url_col))
+    filed = _filed(rules, pages.select(F.concat(host, path).alias("subject")))
+    index: dict[str, list[int]] = defaultdict(list)
+    for k, word in enumerate(filed):
+        if word is not None:
+            index[word].append(k)
+    judge = F.pandas_udf(_judge_batches(dict(index), [k for k, w in enumerate(filed) if w is None], rules), _RESULT)
+    name = _free("judged", pages.columns)
+    judged = pages.withColumn(name, judge(F.concat(host, path)))
+    return judged.select(*_kept(pages), host.alias("host"), path.alias("path"), f"{name}.rule", f"{name}.pattern", f"{name}.verdict")
+
+
+def _kept(pages: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "pattern", "verdict")]
+
+
+def _judge_by_join(pages: DataFrame, url_col: str, table: DataFrame, limit: int) -> DataFrame:
+    """Rules as a table: every token of a URL is joined with the rules filed under it."""
     host, path = host_and_path(F.col(url_col))
-    subjects = pages.select(F.concat(host, path).alias("subject"))
-    rules = list(rules)
-    filed = _filed(rules, subjects)
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "pattern", "verdict")]
-    if len(rules) <= broadcast_rules:
-        index: dict[str, list[int]] = defaultdict(list)
-        for k, word in enumerate(filed):
-            if word is not None:
-                index[word].append(k)
-        judge = F.pandas_udf(_judge_batches(dict(index), [k for k, w in enumerate(filed) if w is None], rules), _RESULT)
-        name = _free("judged", pages.columns)
-        judged = pages.withColumn(name, judge(F.concat(host, path)))
-        return judged.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"), f"{name}.rule", f"{name}.pattern", f"{name}.verdict")
-    rows = [(k, w, r.regex, r.name, r.verdict, r.is_base, len(r.name)) for k, (w, r) in enumerate(zip(filed, rules))]
-    by_token = pages.sparkSession.createDataFrame(rows, "k int, token string, regex string, name string, said string, is_base boolean, size int")
-    # Rules without a token are filed under the empty token, which every URL holds.
-    by_token = by_token.withColumn("token", F.coalesce("token", F.lit("")))
-    urls = subjects.distinct().withColumn("token", F.explode(F.concat(_tokens(F.col("subject")), F.array(F.lit("")))))
-    best = urls.join(by_token, "token").where(F.expr("subject rlike regex")).groupBy("subject")
-    best = best.agg(F.max_by(F.struct("name", "said", "is_base"), F.struct("is_base", "size", -F.col("k"))).alias("best"))
-    key = _free("subject", pages.columns)
-    name = _free("best", pages.columns)
+    subjects = materialize(pages.select(F.concat(host, path).alias("subject")).distinct(), "subjects")
+    words = table.select("k", F.explode("tokens").alias("token"))
+    tokens = subjects.select("subject", F.explode(_tokens(F.col("subject"))).alias("token"))
+    held = tokens.join(words.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = words.join(held, "token", "left").groupBy("k").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r"))
+    filed = materialize(table.join(rarest.select("k", F.col("r.token").alias("token")), "k", "left").drop("tokens"), "rules")
+    rank, said = F.struct("is_base", "size", (-F.col("k")).alias("earlier")).alias("rank"), F.struct("name", "verdict", "is_base").alias("best")
+    found = tokens.join(filed.where("token IS NOT NULL"), "token").where(F.expr("subject rlike regex")).select("subject", rank, said)
+    loose = filed.where("token IS NULL")
+    parts = -(-loose.count() // max(1, limit))
+    for part in range(parts):
+        rules = loose.where(F.pmod(F.col("k"), F.lit(parts)) == part).orderBy("k").collect()  # about ``limit`` rules
+        found = found.unionByName(_tried(subjects, rules).select("subject", "hit.rank", "hit.best"))
+    best = found.groupBy("subject").agg(F.max_by("best", "rank").alias("best"))
+    key, name = _free("subject", pages.columns), _free("best", pages.columns)
     joined = pages.withColumn(key, F.concat(host, path)).join(best.select(F.col("subject").alias(key), F.col("best").alias(name)), key, "left")
     is_base = F.col(f"{name}.is_base")
-    return joined.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"), F.when(is_base, F.col(f"{name}.name")).alias("rule"), F.when(~is_base, F.col(f"{name}.name")).alias("pattern"), F.coalesce(f"{name}.said", F.lit("allow")).alias("verdict"))
+    return joined.select(*_kept(pages), host.alias("host"), path.alias("path"), F.when(is_base, F.col(f"{name}.name")).alias("rule"), F.when(~is_base, F.col(f"{name}.name")).alias("pattern"), F.coalesce(f"{name}.verdict", F.lit("allow")).alias("verdict"))
+
+
+def _tried(subjects: DataFrame, rules: list) -> DataFrame:
+    """(subject, hit) of the best of a few rules that fits each subject."""
+    ordered = sorted(rules, key=lambda r: (r.is_base, r["size"], -r.k), reverse=True)
+    hit = "rank struct<is_base boolean, size int, earlier long>, best struct<name string, verdict string, is_base boolean>"
+
+    @F.pandas_udf(hit)
+    def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        compiled = [re.compile(r.regex) for r in ordered]
+        for urls in batches:
+            held = [next((r for r, c in zip(ordered, compiled) if c.search(u)), None) for u in urls]
+            yield pd.DataFrame(
+                {
+                    "rank": [r and {"is_base": r.is_base, "size": r["size"], "earlier": -r.k} for r in held],
+                    "best": [r and {"name": r.name, "verdict": r.verdict, "is_base": r.is_base} for r in held],
+                }
+            )
+
+    return subjects.select("subject", first("subject").alias("hit")).where("hit.rank IS NOT NULL")
 
 
 ORACLE = f"""

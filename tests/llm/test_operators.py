@@ -62,6 +62,19 @@ def test_url_join_path_and_no_rules(spark):
     assert judged(spark, []) == {}
 
 
+def test_url_rule_table_and_odd_rows(spark):
+    """A table of rules in both ways equals the list; rules without a token, long URLs, null ids and repeated rows."""
+    rows = [(k, r.verdict, *(r.name.partition("/")[0], "/" + r.name.partition("/")[2]), None) if r.is_base else (k, r.verdict, None, None, r.name) for k, r in enumerate(url_filter.BASE_RULES + url_filter.PATTERN_RULES)]
+    rows += [(50, "block", None, None, "*zz*"), (51, "block", None, None, "q")]
+    table = url_filter.rule_table(spark.createDataFrame(rows, "position int, verdict string, host string, path string, pattern string"))
+    urls = [*URLS, "http://azza.org/", "http://q.zz/", "http://long.net/es/" + "a/" * 100_000, "http://q.zz/", "http://q.org/"]
+    pages = spark.createDataFrame([(i if i % 7 else None, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, best string")
+    run = lambda **kw: sorted(map(str, url_filter.judge_urls(pages, rules=table, **kw).collect()))
+    few = run()
+    assert few == run(broadcast_rules=1) == run(broadcast_rules=2) and len(few) == len(urls)
+    assert sum("pattern='q'" in r for r in few) == 1 and sum("pattern='*zz*'" in r for r in few) == 3 and sum("rule='net/es/'" in r for r in few) == 2
+
+
 def test_url_index_finds_what_all_rules_find():
     rules = list(url_filter.BASE_RULES + url_filter.PATTERN_RULES)
     rng = random.Random(1)
@@ -291,6 +304,33 @@ def test_components(spark):
     assert found == want
 
 
+def test_two_thousand_variants_of_one_template(spark):
+    """Variants about as far apart as the limit, against all pairs; blocks compare what stars leave open."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    template = rng.sample(vocabulary, 120)
+    texts = []
+    for _ in range(2000):
+        copy = list(template)
+        for k in rng.sample(range(120), rng.randint(3, 12)):
+            copy[k] = rng.choice(vocabulary)
+        texts.append(" ".join(copy))
+    sets = [set(zip(w, w[1:])) for w in map(str.split, texts)]
+    index = {s: k for k, s in enumerate(set().union(*sets))}
+    held = np.zeros((len(sets), len(index)), np.float32)
+    for row, s in enumerate(sets):
+        held[row, [index[x] for x in s]] = 1
+    both = held @ held.T
+    sizes = held.sum(axis=1)
+    linked = 100 * both >= 80 * (sizes[:, None] + sizes[None] - both)
+    root, changed = np.arange(len(sets)), True
+    while changed:
+        new = np.where(linked, root[None], len(sets)).min(axis=1)
+        root, changed = new, (new != root).any()
+    found = minhash.near_duplicates(docs(spark, texts), width=2).orderBy("doc_id").toPandas()
+    assert len(set(root)) > 100 and (found.component_id.to_numpy() == root).all()
+
+
 # Language
 
 
@@ -329,6 +369,57 @@ def test_toxicity(spark):
     assert {r.toxicity.flagged for r in toxicity.judge_documents(documents.limit(5), none).collect()} == {False}
 
 
+def test_toxicity_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels, documents = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "documents"))
+    chain = toxicity.fit(documents, labels.where("doc_id % 2 = 0"))
+    found = toxicity.judge_documents(documents, chain).join(labels.where("doc_id % 2 = 1"), "doc_id").select("lang", "toxic", "toxicity.flagged", "toxicity.strong", "toxicity.severe").toPandas()
+    for lang, rows in found.groupby("lang"):
+        toxic, clean = rows[rows.toxic == 1], rows[rows.toxic == 0]
+        assert len(toxic) >= 10 and toxic.flagged.mean() > 0.9 and clean.flagged.mean() < 0.01, (lang, toxic.flagged.mean(), clean.flagged.mean())
+        assert toxic.strong.mean() > 0.2 and clean.strong.mean() < 0.05, lang
+
+
+def test_chain_equals_brute_force():
+    """The chain's probabilities, out-of-fold inputs and cut, against a plain rewriting of them."""
+    rng = np.random.default_rng(3)
+    n = 400
+    x = (rng.random((n, 4)) < 0.3).astype(float)
+    y = np.column_stack([x[:, 0] * x[:, 1], np.maximum(x[:, 0], x[:, 1])])
+    y = np.where(rng.random(y.shape) < 0.05, 1 - y, y)
+    fold = np.arange(n) % 3
+    held = [list(np.flatnonzero(r)) for r in x]
+    chain = toxicity.fit_chain(held, y, fold, ("a", "b", "c", "d"))
+
+    def logistic(features, labels):
+        w = np.zeros(features.shape[1] + 1)
+        rows = np.hstack([features, np.ones((len(features), 1))])
+        ridge = np.array([toxicity.RIDGE] * features.shape[1] + [1e-6])
+        for _ in range(20_000):  # gradient descent
+            slope = rows.T @ (1 / (1 + np.exp(-rows @ w)) - labels) + ridge * w
+            w -= 0.01 * slope
+            if abs(slope).max() < 1e-9:
+                break
+        return w
+
+    say = lambda features, w: 1 / (1 + np.exp(-(features @ w[:-1] + w[-1])))
+    first = logistic(x, y[:, 0])
+    unseen = np.zeros(n)
+    for k in range(3):
+        unseen[fold == k] = say(x[fold == k], logistic(x[fold != k], y[fold != k, 0]))
+    second_in = np.hstack([x, unseen[:, None]])
+    second = logistic(second_in, y[:, 1])
+    assert np.allclose(chain.models[0], first, atol=1e-4) and np.allclose(chain.models[1], second, atol=1e-3)
+    got = chain.probabilities(held)
+    want = say(x, first)
+    assert np.allclose(got[:, 0], want, atol=1e-4) and np.allclose(got[:, 1], say(np.hstack([x, want[:, None]]), second), atol=1e-3)
+    last = np.zeros(n)
+    for k in range(3):
+        last[fold == k] = say(second_in[fold == k], logistic(second_in[fold != k], y[fold != k, 1]))
+    f1 = lambda t: 2 * (y[:, 1] * (last >= t)).sum() / ((last >= t).sum() + y[:, 1].sum())
+    assert f1(chain.threshold) >= max(f1(t) for t in last) - 1e-9
+
+
 def test_lookup_equals_features():
     chosen = ("idiot", "idio-", "lowei-", "loweie-", "abc")
     rng = random.Random(7)
