@@ -139,22 +139,33 @@ def dashboard(bids: DataFrame, scores: DataFrame) -> DataFrame:
     return status.select(one, "*").join(bands.select(one, "*"), "one").drop("one")
 
 
-def document_checks(tenders: DataFrame, bids: DataFrame, bidders: DataFrame) -> DataFrame:
-    """(bid_id, requirement, status): each required document against file names and the profile."""
+def _checked(tenders: DataFrame, bids: DataFrame, bidders: DataFrame) -> DataFrame:
+    """Bids with ``checks``: (requirement, status) of each document that their tender requires."""
     rows = bids.select("bid_id", "tender_id", "bidder_id", F.transform(F.coalesce("submitted_documents", F.array().cast("array<string>")), F.lower).alias("names"))
-    rows = rows.join(tenders.select("tender_id", F.explode("required_documents").alias("requirement")), "tender_id").join(bidders.select("bidder_id", "gst_number", "pan_number", "msme_status"), "bidder_id", "left")
+    rows = rows.join(tenders.select("tender_id", "required_documents"), "tender_id").join(bidders.select("bidder_id", "gst_number", "pan_number", "msme_status"), "bidder_id", "left")
     table = F.create_map(*[x for k, v in DOCUMENT_ALIASES.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    needles = F.coalesce(F.try_element_at(table, F.col("requirement")), F.array(F.lower("requirement")))
-    by_file = F.exists("names", lambda n: F.exists(needles, lambda w: F.contains(n, w)))
     given = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
-    by_profile = F.when(F.col("requirement") == "GST certificate", given("gst_number")).when(F.col("requirement") == "PAN card", given("pan_number")).when(F.col("requirement") == "Udyam/MSME certificate", F.coalesce(F.col("msme_status") == "Yes", F.lit(False))).otherwise(False)
-    status = F.when(by_file | by_profile, "matched").when(F.size("names") > 0, "missing").otherwise("evidence_required")
-    return rows.select("bid_id", "tender_id", "bidder_id", "requirement", status.alias("status"))
+
+    def check(requirement: Column) -> Column:
+        needles = F.coalesce(F.try_element_at(table, requirement), F.array(F.lower(requirement)))
+        by_file = F.exists("names", lambda n: F.exists(needles, lambda w: F.contains(n, w)))
+        by_profile = F.when(requirement == "GST certificate", given("gst_number")).when(requirement == "PAN card", given("pan_number")).when(requirement == "Udyam/MSME certificate", F.coalesce(F.col("msme_status") == "Yes", F.lit(False))).otherwise(False)
+        status = F.when(by_file | by_profile, "matched").when(F.size("names") > 0, "missing").otherwise("evidence_required")
+        return F.struct(requirement.alias("requirement"), status.alias("status"))
+
+    return rows.select("bid_id", "tender_id", "bidder_id", F.transform("required_documents", check).alias("checks"))
+
+
+def document_checks(tenders: DataFrame, bids: DataFrame, bidders: DataFrame) -> DataFrame:
+    """(bid_id, requirement, status): each required document against file names and the profile."""
+    return _checked(tenders, bids, bidders).select("bid_id", "tender_id", "bidder_id", F.explode("checks").alias("c")).select("bid_id", "tender_id", "bidder_id", "c.*")
 
 
-def comparison(checks: DataFrame) -> DataFrame:
-    """(bid_id, matched, missing, total, score, status) of the document checks."""
-    n = checks.groupBy("bid_id").agg(F.count_if(F.col("status") == "matched").alias("matched"), F.count_if(F.col("status") == "missing").alias("missing"), F.count("*").alias("total"))
+def comparison(tenders: DataFrame, bids: DataFrame, bidders: DataFrame) -> DataFrame:
+    """(bid_id, matched, missing, total, score, status) of the document checks, counted inside each bid's row."""
+    rows = _checked(tenders, bids, bidders).where(F.size("checks") > 0)
+    count = lambda status: F.sum(F.size(F.filter("checks", lambda c: c["status"] == status)))
+    n = rows.groupBy("bid_id").agg(count("matched").alias("matched"), count("missing").alias("missing"), F.sum(F.size("checks")).alias("total"))
     status = F.when(F.col("missing") > 0, "Requirements missing").when(F.col("matched") == F.col("total"), "Checklist matched").otherwise("Evidence required")
     return n.select("*", F.floor(100 * F.col("matched") / F.col("total") + 0.5).cast("int").alias("score"), status.alias("status"))
 

@@ -120,7 +120,7 @@ def document_checks(spark, folder):
 @query("""SELECT bid_id, matched, missing, total, CAST(floor(100 * matched / total + 0.5) AS INTEGER) AS score,
   CASE WHEN missing > 0 THEN 'Requirements missing' WHEN matched = total THEN 'Checklist matched' ELSE 'Evidence required' END AS status FROM compared""")
 def tender_comparison(spark, folder):
-    return portfolio.comparison(document_checks(spark, folder))
+    return portfolio.comparison(market.tenders(spark, folder), market.submissions(spark, folder), market.bidders(spark, folder))
 
 
 @query("SELECT bid_id, tender_id, bidder_id, points, row_number() OVER (PARTITION BY tender_id ORDER BY points DESC, bid_amount, bid_id) AS place FROM points")
