@@ -19,6 +19,7 @@ DATE_FORMATS = (
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
 )
+# Formats of tax and account numbers.
 GST = r"^\d{2}[A-Z]{5}\d{4}[A-Z]{1}[A-Z\d]{1}Z[A-Z\d]{1}$"
 PAN = r"^[A-Z]{5}\d{4}[A-Z]{1}$"
 

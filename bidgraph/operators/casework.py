@@ -123,6 +123,43 @@ def investigation_summary(clusters: DataFrame, actions: DataFrame, recent: int =
     return found.unionByName(latest.select(F.lit("audit").alias("kind"), F.col("bid_id").alias("id"), F.col("new_status").alias("text"), F.col("action_seq").alias("score")))
 
 
+def cluster_narratives(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, text): a sentence per cluster from its size, evidence and score."""
+    text = F.concat("cluster_id", F.lit(" links "), F.col("members").cast("string"), F.lit(" bidders by "), F.array_join("evidence", ", "), F.lit("; its highest score is "), F.col("score").cast("string"), F.lit("."))
+    return clusters.select("cluster_id", text.alias("text"))
+
+
+def portfolio_totals(tenders: DataFrame, bids: DataFrame, scores: DataFrame, clusters: DataFrame, flagged_from: int = 50) -> DataFrame:
+    """(name, n): tenders, bids, bidders, flagged bidders, clusters and the bidders in them."""
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    out = count(tenders, "tenders").unionByName(count(bids, "bids")).unionByName(count(scores, "bidders")).unionByName(count(scores.where(F.col("score") >= flagged_from), "flagged"))
+    inside = clusters.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n")).select(F.lit("clustered").alias("name"), "n")
+    return out.unionByName(count(clusters, "clusters")).unionByName(inside)
+
+
+def search_tenders(tenders: DataFrame, text: str | None = None, status: str | None = None, category: str | None = None) -> DataFrame:
+    """Tenders of a status and category with a text in id, title, department or category, in any case."""
+    rows = tenders
+    if text:
+        hit = F.lit(False)
+        for c in ("tender_id", "title", "department", "category"):
+            hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
+        rows = rows.where(hit)
+    for column, value in (("status", status), ("category", category)):
+        if value:
+            rows = rows.where(F.lower(column) == value.lower())
+    return rows
+
+
+def counted_page(rows: DataFrame, order: list[Column], number: int, size: int = 20) -> DataFrame:
+    """One page of a sorted list with the ``total`` number of its rows."""
+    from bidgraph.operators.portfolio import page
+
+    total = rows.agg(F.count("*").alias("total"))
+    one = F.lit(1).alias("one")
+    return page(rows, order, number, size).select(one, "*").join(total.select(one, "*"), "one").drop("one")
+
+
 #: source: (column of the bidder, status of a good record, of another, of none).
 REGISTRIES = {
     "gst": ("gst_number", "Verified", "Needs Review", "Not Found"),

@@ -138,7 +138,31 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 10, levels: int = 4) -> DataFrame:
+    """(id, community): local moves by modularity gain, then the same on the graph of communities, until none is joined.
+
+    A community has the name of one of its nodes.
+    """
+    at, graph = None, edges.select("a", "b", "weight")
+    for _ in range(levels):
+        moved = local_moves(graph, rounds)
+        before = moved.count()
+        if at is None:
+            at = moved
+        else:
+            up = moved.select(F.col("id").alias("community"), F.col("community").alias("joined"))
+            at = materialize(at.join(up, "community").select("id", F.col("joined").alias("community")), "community")
+        ends = graph
+        for end in ("a", "b"):
+            ends = ends.join(moved.select(F.col("id").alias(end), F.col("community").alias(f"{end}_in")), end)
+        # Weights inside a community become a loop, which counts twice in its strength as both ends did.
+        graph = materialize(ends.groupBy(F.least("a_in", "b_in").alias("a"), F.greatest("a_in", "b_in").alias("b")).agg(F.sum("weight").alias("weight")), "contracted")
+        if moved.select("community").distinct().count() in (before, 1):
+            break
+    return at
+
+
+def local_moves(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community): deterministic local moves by modularity gain; a half of the nodes, by a hash of id and turn, moves at a time."""
     links = materialize(both_ways(edges), "links")
     strength = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "strength")

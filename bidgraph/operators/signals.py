@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidgraph.functions.settings import PROHIBITED_TERMS, RECOMMENDED_ACTIONS, RISK_LANGUAGE, WEIGHTS
+from bidgraph.functions.settings import PROHIBITED_TERMS, RECOMMENDED_ACTIONS, RISK_LANGUAGE
 
 
 def ratio(value: Column, threshold: float, ceiling: float) -> Column:
@@ -139,7 +139,3 @@ def score_tenders(signalled: DataFrame, facts: DataFrame, scores: DataFrame) ->
     score = F.least(F.lit(1.0), 0.55 * F.col("own") + 0.45 * F.coalesce("worst", F.lit(0.0)) / 100) * 100
     score = F.round(F.round(score, 6), 2)  # halves that sums of doubles miss by their last bits go up
     return joined.select("tender", "signals", score.alias("risk_score"), risk_level(score).alias("risk_level"))
-
-
-def codes() -> tuple[str, ...]:
-    return tuple(WEIGHTS)

@@ -75,10 +75,6 @@ def narrative(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", F.concat_ws(" ", "a", F.lit("and"), "b", F.lit("are linked by"), F.array_join("evidence", ", ")).alias("text"))
 
 
-def touching(edges: DataFrame, bidder: str) -> DataFrame:
-    return edges.where((F.col("a") == bidder) | (F.col("b") == bidder))
-
-
 def risk_report(scores: DataFrame) -> DataFrame:
     """(band, bidders, share, mean_score) of (bidder_id, score)."""
     per = scores.groupBy(portfolio_band(F.col("score")).alias("band")).agg(F.count("*").alias("bidders"), F.avg("score").alias("mean_score"))

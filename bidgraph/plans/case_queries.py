@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidgraph.operators import casework, graph, networks, portfolio, views
+from bidgraph.operators import casework, graph, identity, networks, portfolio, views
 from bidgraph.plans import portfolio_queries as P
-from bidgraph.plans.risk_queries import _edges, core
+from bidgraph.plans.risk_queries import _edges, core, scored
 from bidgraph.plans.sql import CTE, with_tables
 from bidgraph.plans.storage import materialize
 from bidgraph.sources import market
@@ -196,3 +196,36 @@ def stored_documents(spark, folder):
 @query("SELECT t.tender_id, l.bid_id, l.bid_id IS NOT NULL AS allowed FROM tenders t LEFT JOIN lowest l ON t.tender_id = l.tender_id")
 def award_checks(spark, folder):
     return casework.award_check(market.tenders(spark, folder), market.submissions(spark, folder))
+
+
+@query("SELECT cluster_id, cluster_id || ' links ' || members || ' bidders by ' || array_to_string(evidence, ', ') || '; its highest score is ' || score || '.' AS text FROM registry_numbered JOIN registry_said USING (root)")
+def cluster_narratives(spark, folder):
+    return casework.cluster_narratives(registry_clusters(spark, folder)[2])
+
+
+@query("""SELECT 'tenders' AS name, count(*) AS n FROM tenders UNION ALL SELECT 'bids', count(*) FROM submissions UNION ALL SELECT 'bidders', count(*) FROM bidder_scores UNION ALL SELECT 'flagged', count(*) FROM bidder_scores WHERE score >= 50
+  UNION ALL SELECT 'clusters', count(*) FROM registry_cluster UNION ALL SELECT 'clustered', coalesce(sum(members), 0)::BIGINT FROM registry_cluster""")
+def portfolio_totals(spark, folder):
+    return casework.portfolio_totals(market.tenders(spark, folder), market.submissions(spark, folder), P.bidder_scores(spark, folder), registry_clusters(spark, folder)[2])
+
+
+@query("SELECT tender_id, title, department, status FROM tenders WHERE lower(status) = 'open' AND (contains(lower(tender_id), 'build') OR contains(lower(title), 'build') OR contains(lower(department), 'build') OR contains(lower(category), 'build'))")
+def tender_search(spark, folder):
+    return casework.search_tenders(market.tenders(spark, folder), "BUILD", "Open").select("tender_id", "title", "department", "status")
+
+
+@query("SELECT bid_id, risk_score, count(*) OVER () AS total FROM decorated WHERE risk_category = 'Low' ORDER BY risk_score DESC, bid_amount DESC, bid_id LIMIT 20 OFFSET 40")
+def risk_page(spark, folder):
+    rows = decorated(spark, folder).where("risk_category = 'Low'")
+    return casework.counted_page(rows, [F.desc("risk_score"), F.desc("bid_amount"), F.col("bid_id")], number=3).select("bid_id", "risk_score", "total")
+
+
+@query(f"SELECT m.raw AS bidder_id, CAST(round(coalesce(risk_score, 0)::DOUBLE) AS INTEGER) AS score, {_BAND.format('round(coalesce(risk_score, 0)::DOUBLE)')} AS band, coalesce(codes, []) AS codes FROM company_map m LEFT JOIN scores s ON canonical = s.company")
+def raw_bidder_scores(spark, folder):
+    """Scores of companies spread to every raw bidder id that they are known by."""
+    parts = core(spark, folder)
+    feed = market.bid_feed(spark, folder)
+    codes = F.array_sort(F.transform("signals", lambda s: s["code"])).alias("codes")
+    known = identity.entities(feed, "company").select(F.col("canonical").alias("company"), "aliases")
+    entities = known.join(scored(spark, folder, parts).select("company", "risk_score", codes), "company")
+    return portfolio.scores_to_raw(entities, feed.select(F.col("company_id").alias("bidder_id")).distinct())

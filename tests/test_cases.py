@@ -122,3 +122,13 @@ def test_exports_with_a_cap(spark):
     nodes = spark.createDataFrame([("a", "Company", "A"), ("b", "Company", "B"), ("c", "Company", "C")], "id string, node_type string, display string")
     edges = spark.createDataFrame([("a", "b", "CO_BID", 2.0), ("b", "c", "CO_BID", 1.0)], "src string, dst string, edge_type string, weight double")
     assert [r.id for r in graph.node_export(nodes, edges, 1).collect()] == ["b"] and [r.dst for r in graph.edge_export(edges, 1).collect()] == ["b"]
+
+
+def test_communities_are_joined_after_local_moves(spark):
+    rows = [(f"n{i:02}", f"n{i + 1:02}", 1.0) for i in range(31)]
+    df = spark.createDataFrame(rows, "a string, b string, weight double")
+    moved, joined = networks.local_moves(df), networks.communities(df)
+    value = lambda m: networks.modularity(m, df).first().modularity
+    assert value(joined) > value(moved) + 0.1 and value(joined) > 0.6
+    place = {r.id: r.community for r in joined.collect()}
+    assert len(place) == 32 and sum(place[a] != place[b] for a, b, _ in rows) == len(set(place.values())) - 1
