@@ -137,5 +137,5 @@ def score_tenders(signalled: DataFrame, facts: DataFrame, scores: DataFrame) ->
     worst = facts.join(scores.select("company", "risk_score"), "company").groupBy("tender").agg(F.max("risk_score").alias("worst"))
     joined = signalled.join(worst, "tender", "left")
     score = F.least(F.lit(1.0), 0.55 * F.col("own") + 0.45 * F.coalesce("worst", F.lit(0.0)) / 100) * 100
-    score = F.round(F.round(score, 6), 2)  # halves that sums of doubles miss by their last bits go up
+    score = F.floor(score * 100 + 0.5) / 100  # the double itself is rounded; F.round rounds its shortest decimal form
     return joined.select("tender", "signals", score.alias("risk_score"), risk_level(score).alias("risk_level"))

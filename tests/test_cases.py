@@ -23,6 +23,12 @@ def test_query_equals_sql(spark, sf, name):
     assert_same(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf)
 
 
+def test_tender_scores_equal_sql_where_halves_stand(spark):
+    """Scores such as 13.725 stand among the rows of the larger table alone."""
+    larger = "/root/testdata/sf0.01"
+    assert_same(registry.QUERIES["tender_scores"](spark, larger), registry.ORACLE_SQL["tender_scores"], larger)
+
+
 def test_pairs_take_one_join_of_bidders(spark, sf):
     rows, facts, dim = risk_queries.core(spark, sf)
     plan = pairs.pair_features(rows, facts, dim)._jdf.queryExecution().optimizedPlan().toString()
