@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidgraph.llm import decontam, langid, minhash, quality_classifier, quality_rules, secrets, sentencepiece_codec, toxicity, url_filter, warc
+from bidgraph.llm import decontam, langid, minhash, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, toxicity, url_filter, warc
 from bidgraph.llm.text_stats import COUNTS, small_batches
 from bidgraph.plans.tables import table
 
@@ -99,6 +99,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_documents(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    first = F.array_min(F.col("mix.copies.position"))
+    return mixed.orderBy(first.asc_nulls_last(), "mix_order").select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_secrets": op2_secrets,
@@ -110,5 +116,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_mixing": op11_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE, "op7_minhash": minhash.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE, "op7_minhash": minhash.ORACLE, "op11_mixing": mixing.ORACLE}
