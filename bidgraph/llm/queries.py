@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidgraph.llm import decontam, langid, minhash, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, toxicity, url_filter, warc
+from bidgraph.llm import conversations, decontam, langid, minhash, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, toxicity, url_filter, warc
 from bidgraph.llm.text_stats import COUNTS, small_batches
 from bidgraph.plans.tables import table
 
@@ -105,6 +105,12 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.orderBy(first.asc_nulls_last(), "mix_order").select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    said = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(said, conversations.damaged(said))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_secrets": op2_secrets,
@@ -117,5 +123,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
     "op11_mixing": op11_mixing,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE, "op7_minhash": minhash.ORACLE, "op11_mixing": mixing.ORACLE}
