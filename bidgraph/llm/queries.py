@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidgraph.llm import conversations, decontam, langid, minhash, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, toxicity, url_filter, warc
+from bidgraph.llm import conversations, decontam, langid, minhash, mixing, quality_classifier, quality_rules, secrets, sentencepiece_codec, spelling, toxicity, url_filter, warc
 from bidgraph.llm.text_stats import COUNTS, small_batches
 from bidgraph.plans.tables import table
 
@@ -111,6 +111,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(said, conversations.damaged(said))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return spelling.spelling_variants(spelling.counted_words(docs))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_secrets": op2_secrets,
@@ -124,5 +129,6 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_mixing": op11_mixing,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.ORACLE, "op4_warc": warc.ORACLE, "op7_minhash": minhash.ORACLE, "op11_mixing": mixing.ORACLE}
