@@ -1,15 +1,15 @@
-"""Structured Streaming jobs: ingest, running tender figures, upserts, rate limits, status audit.
+"""Structured Streaming jobs whose state Spark keeps: ingest, running tender figures, rate limits.
 
-Each takes a streaming DataFrame; with the ``availableNow`` trigger the result is that of the batch job.
+Each takes a streaming DataFrame; with the ``availableNow`` trigger the result is that of the batch
+job.  ``batches`` has the jobs that keep their results in stores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from bidgraph.sources.files import upsert, validate
+from bidgraph.sources.files import validate
 
 
 def submissions(stream: DataFrame, time_col: str = "ts", delay: str = "1 day", keys: tuple[str, ...] = ("company_id", "tender_id")) -> tuple[DataFrame, DataFrame]:
@@ -27,64 +27,3 @@ def over_limit(stream: DataFrame, key: str, time_col: str = "ts", window: str =
     """Attempts per key and tumbling window, and whether they exceed the limit."""
     counted = stream.withWatermark(time_col, delay).groupBy(F.window(time_col, window).alias("w"), key).agg(F.count("*").alias("attempts"))
     return counted.select(key, F.col("w.start").alias("start"), "attempts", (F.col("attempts") > limit).alias("limited"))
-
-
-def upsert_sink(path: str, keys: list[str], version: str, parts: int = 64):
-    """A foreachBatch function that keeps the newest row of each key under ``path``/epoch=<batch>.
-
-    Rows are dealt to ``parts`` by a hash of their keys.  A batch rewrites only the parts that it
-    touches, from the newest version that earlier batches wrote of them, so a repeated batch gives
-    the same files; ``upserted`` reads the table.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        new = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
-        old = _newest(batch.sparkSession, path, new.schema, epoch)
-        if old is not None:
-            old = old.join(F.broadcast(new.select("part").distinct()), "part", "left_semi").select(*new.columns)  # at most ``parts`` rows
-        latest = upsert(new.limit(0) if old is None else old, new, keys, version)
-        latest.write.mode("overwrite").partitionBy("part").parquet(f"{path}/epoch={epoch}")
-
-    return write
-
-
-def _newest(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame | None:
-    """Each part as its newest batch wrote it; None if nothing is there."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.IntegerType())])).parquet(path)
-    rows = rows if before is None else rows.where(F.col("epoch") < before)
-    last = rows.groupBy("part").agg(F.max("epoch").alias("epoch"))
-    return rows.join(F.broadcast(last), ["part", "epoch"], "left_semi").select(*schema.names)
-
-
-def upserted(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table that ``upsert_sink`` keeps; ``schema`` is that of the batches."""
-    held = T.StructType([*schema.fields, T.StructField("part", T.IntegerType())])
-    found = _newest(spark, path, held)
-    return spark.createDataFrame([], schema) if found is None else found.drop("part")
-
-
-def status_sink(path: str, initial: str = "Needs Review"):
-    """A foreachBatch function for (bid_id, action_seq, new_status): audit rows and current status.
-
-    The first action of a bid in a batch follows the status that earlier batches left.
-    """
-    from bidgraph.operators.portfolio import audit_rows, bid_status
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = audit_rows(batch, initial)
-        now = bid_status(batch).select("bid_id", "status")
-        if epoch > 0:
-            before = spark.read.parquet(f"{path}/status/{epoch - 1}")
-            first = batch.groupBy("bid_id").agg(F.min("action_seq").alias("first_seq"))
-            marked = rows.join(first, "bid_id").join(before.withColumnRenamed("status", "left_status"), "bid_id", "left")
-            opening = F.col("action_seq") == F.col("first_seq")
-            rows = marked.withColumn("previous_status", F.when(opening, F.coalesce("left_status", F.lit(initial))).otherwise(F.col("previous_status"))).drop("first_seq", "left_status")
-            now = now.unionByName(before.join(now, "bid_id", "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{path}/audit/{epoch}")
-        now.write.mode("overwrite").parquet(f"{path}/status/{epoch}")
-
-    return write

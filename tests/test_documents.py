@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from bidgraph.operators import documents as D
-from bidgraph.streaming import jobs
+from bidgraph.sources.store import Store
+from bidgraph.streaming import batches, jobs
 
 
 def one(spark, text, expr):
@@ -50,15 +51,19 @@ def test_streams(spark, tmp_path):
     best = {r.tender_id: r.bids for r in run(jobs.running_tenders(read().withColumn("bid_amount", F.col("bid_amount").cast("double"))), "best", "complete")}
     assert best == {"T0": 6, "T1": 7}
     steps = spark.createDataFrame([("b", 1, "Verified"), ("b", 2, "Flagged")], "bid_id string, action_seq int, new_status string")
-    sink = jobs.status_sink(str(tmp_path / "s"))
+    status = Store(spark, str(tmp_path / "s"), ["bid_id"])
+    sink = batches.status_sink(status, str(tmp_path / "audit"))
     sink(steps, 0)
-    sink(spark.createDataFrame([("b", 3, "Verified")], steps.schema), 1)
-    assert spark.read.parquet(str(tmp_path / "s/audit/1")).first().previous_status == "Flagged"
-    up = jobs.upsert_sink(str(tmp_path / "u"), ["bid_id"], "action_seq")
+    for _ in range(2):  # a batch that comes again changes nothing
+        sink(spark.createDataFrame([("b", 3, "Verified")], steps.schema), 1)
+    assert spark.read.parquet(str(tmp_path / "audit/batch=1")).first().previous_status == "Flagged"
+    assert tuple(status.read().first()) == ("b", "Verified", 3, 3)
+    table = Store(spark, str(tmp_path / "u"), ["bid_id"])
+    up = batches.upsert_sink(table, "action_seq")
     up(steps, 0)
     up(spark.createDataFrame([("c", 1, "x")], steps.schema), 1)
     up(spark.createDataFrame([("b", 5, "y"), ("b", 4, "z")], steps.schema), 7)
-    held = lambda: sorted(map(tuple, jobs.upserted(spark, str(tmp_path / "u"), steps.schema).collect()))
+    held = lambda: sorted(map(tuple, table.read().collect()))
     assert held() == [("b", 5, "y"), ("c", 1, "x")]
-    up(spark.createDataFrame([("b", 5, "y"), ("b", 4, "z")], steps.schema), 7)
+    up(spark.createDataFrame([("b", 6, "again")], steps.schema), 7)
     assert held() == [("b", 5, "y"), ("c", 1, "x")]
