@@ -150,23 +150,25 @@ def blank(text: Column) -> Column:
 
 
 def in_order(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(key, conv_id, block, row, turn, role, text, fault) of all rows; ``row`` ascends with the order of a conversation.
+    """(key, block, row, turn, role, text, digest, blank, broken) of all rows; ``row`` ascends with the order of a conversation.
 
     Rows are dealt to ranges of the whole order, which splits long conversations, and a row's number
     is that of its range and its place there.
     """
     n = max(64, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     role, text, key = F.coalesce(F.col(f"`{role_col}`"), F.lit(" ")), F.coalesce(F.col(f"`{text_col}`"), F.lit(" ")), F.coalesce(F.concat(F.lit("c"), F.col(f"`{conv_col}`").cast("string")), F.lit(""))
-    rows = turns.select(key.alias("key"), F.col(f"`{conv_col}`").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumns({"starts": F.substring("text", 1, 256), "digest": F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256), "copy": F.monotonically_increasing_id()})
+    rows = turns.select(key.alias("key"), F.col(f"`{turn_col}`").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = rows.withColumns({"starts": F.substring("text", 1, 256), "digest": F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256), "blank": blank(F.col("text")), "broken": broken_off(F.col("text")), "copy": F.monotonically_increasing_id()})
     order = ["key", "turn", "role", "starts", "digest"]
     ranged = rows.repartitionByRange(n, *order, "copy").sortWithinPartitions(*order, "copy").drop("starts", "copy").withColumn("row", F.monotonically_increasing_id())
-    ranged = materialize(ranged, "conversations")
-    first = ranged.groupBy("key", "digest").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
-    fault = F.when(blank(F.col("text")), "blank").when(F.col("first").isNull(), "duplicate").when(broken_off(F.col("text")), "truncated")
-    faults = ranged.select("row", "text").join(first, "row", "left").select("row", fault.alias("fault"))
-    light = materialize(ranged.select("row", "key").join(faults, "row"), "faults").select("row", "fault")
-    return ranged.join(light, "row").select("key", "conv_id", F.floor(F.col("row") / block).alias("block"), "row", "turn", "role", "text", "fault")
+    return materialize(ranged.withColumn("block", F.floor(F.col("row") / block)), "conversations")
+
+
+def faults(rows: DataFrame) -> DataFrame:
+    """(key, block, row, turn, role, fault) of the rows of ``in_order``, without their texts."""
+    first = rows.groupBy("key", "digest").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("first"))
+    fault = F.when(F.col("blank"), "blank").when(F.col("first").isNull(), "duplicate").when(F.col("broken"), "truncated")
+    return materialize(rows.join(first, "row", "left").select("key", "block", "row", "turn", "role", fault.alias("fault")), "faults")
 
 
 def _code() -> Column:
@@ -175,9 +177,9 @@ def _code() -> Column:
     return F.when(F.col("fault").isin("blank", "duplicate"), "x").when(F.col("fault") == "truncated", F.upper(letter)).otherwise(letter)
 
 
-def decisions(rows: DataFrame) -> DataFrame:
-    """(key, block, letters): each block's letters by the state in which it is entered."""
-    blocks = rows.select("key", "block", "row", _code().alias("code")).groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("row", "code"))).alias("rows"))
+def decisions(found: DataFrame) -> DataFrame:
+    """(key, block, letters): each block's letters by the state in which it is entered, from ``faults``."""
+    blocks = found.select("key", "block", "row", _code().alias("code")).groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("row", "code"))).alias("rows"))
     blocks = blocks.select("key", "block", F.array_join("rows.code", "").alias("codes"))
     ends = blocks.groupBy("key").agg(F.min("block").alias("first"), F.max("block").alias("last"))
     marked = F.concat(F.when(F.col("block") == F.col("first"), "^").otherwise(""), "codes", F.when(F.col("block") == F.col("last"), "$").otherwise(""))
@@ -210,16 +212,16 @@ def decisions(rows: DataFrame) -> DataFrame:
     return materialize(priced.repartition("key", "block").select("key", "block", traced("codes", "prices").alias("letters")), "decisions")
 
 
-def edits(rows: DataFrame) -> DataFrame:
+def edits(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(key, row, edit, cost, role, text, was): one row per edit in order, deleted rows and inserted turns included.
 
-    ``rows`` are those of ``in_order``.  ``role`` and ``text`` are null where nothing stays, ``was``
+    ``rows`` are those of ``in_order`` and ``found`` their ``faults``.  ``role`` and ``text`` are null where nothing stays, ``was``
     is the row's former role, null for an inserted turn.  A conversation's edits are in one
     partition and in their order, but are only streamed there.
     """
     none = lambda kind: F.lit(None).cast(kind)
-    plans = decisions(rows).select("key", "block", F.lit(-1).cast("long").alias("row"), none("string").alias("role"), none("string").alias("text"), none("boolean").alias("broken"), "letters")
-    said = rows.select("key", "block", "row", "role", "text", (F.col("fault") == "truncated").alias("broken"), none("array<string>").alias("letters"))
+    plans = decisions(found).select("key", "block", F.lit(-1).cast("long").alias("row"), none("string").alias("role"), none("string").alias("text"), none("boolean").alias("broken"), "letters")
+    said = rows.select("key", "block", "row", "role", "text", "broken", none("array<string>").alias("letters"))
     ordered = plans.unionByName(said).repartition("key").sortWithinPartitions("key", "block", "row")
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -304,10 +306,11 @@ def damaged(turns: DataFrame) -> DataFrame:
 def repair_report(conversations: DataFrame, turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row per conv_id of ``conversations`` about the repair of ``turns``: gaps, faults, cost, audit and digest of the repaired conversation."""
     rows = in_order(turns, block=block)
+    found = faults(rows)
     count = lambda fault: F.count(F.when(F.col("fault") == fault, 1)).alias(fault)
     gaps = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn"), F.lit(0)).cast("long")
-    stats = rows.groupBy("key").agg(gaps.alias("gaps"), *[count(f) for f in ("blank", "duplicate", "truncated")])
-    repaired = digests(edits(rows))
+    stats = found.groupBy("key").agg(gaps.alias("gaps"), *[count(f) for f in ("blank", "duplicate", "truncated")])
+    repaired = digests(edits(rows, found))
     every = conversations.select("conv_id", F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")).alias("key")).distinct()
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     joined = every.join(stats, "key", "left").join(repaired, "key", "left")
