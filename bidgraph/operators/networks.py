@@ -6,12 +6,12 @@ one round.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidgraph.functions.ranks import numbered
+from bidgraph.operators.cliques import maximal_cliques
 from bidgraph.plans.storage import discard, materialize
 
 
@@ -243,55 +243,7 @@ def company_communities(membership: DataFrame, edges: DataFrame, facts: DataFram
     return materialize(members.join(per, "community").select("company", *[F.col(c).alias(to) for c, to in names.items()], "cluster_tenders"), "communities")
 
 
-def toward_core(links: DataFrame) -> DataFrame:
-    """(src, dst) of undirected (src, dst), each edge once: from the end of the smaller degree, ties by id."""
-    per = links.groupBy("src").agg(F.count("*").alias("d"))
-    placed = links.select("src", "dst").join(per.withColumnRenamed("d", "ds"), "src").join(per.select(F.col("src").alias("dst"), F.col("d").alias("dd")), "dst")
-    return placed.where((F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))).select("src", "dst")
-
-
 def dense_groups(edges: DataFrame, min_size: int = 3, min_weight: float = 3.0) -> DataFrame:
-    """(members, size, mean_weight): maximal cliques on edges of ``min_weight`` or more, one group per pivot.
-
-    Edges lead to the end of the larger degree. A pivot gets its later neighbours and the edges
-    among them, and finds each clique of which it is the first member once; a clique that a node outside
-    of it is linked to as a whole is dropped by a join.
-    """
+    """(members, size, mean_weight): maximal cliques on edges of ``min_weight`` or more, the strongest first."""
     strong = materialize(edges.where(F.col("weight") >= min_weight).select("a", "b", "weight"), "strong")
-    links = both_ways(strong)
-    later = materialize(toward_core(links).join(links, ["src", "dst"]), "later")
-    one, two = later.select(F.col("src").alias("pivot"), F.col("dst").alias("x")), later.select(F.col("src").alias("pivot"), F.col("dst").alias("y"))
-    inner = one.join(later.select(F.col("src").alias("x"), F.col("dst").alias("y"), "weight"), "x").join(two, ["pivot", "y"]).select("pivot", "x", "y", "weight")
-    own = later.select(F.col("src").alias("pivot"), F.col("src").alias("x"), F.col("dst").alias("y"), "weight")
-
-    def cliques(rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set] = {}
-        weight = {}
-        for x, y, w in zip(rows.x, rows.y, rows.weight):
-            near.setdefault(x, set()).add(y)
-            near.setdefault(y, set()).add(x)
-            weight[frozenset((x, y))] = w
-        pivot, found = rows["pivot"].iloc[0], []
-
-        def extend(chosen: list, open_: set, done: set) -> None:
-            if not open_ and not done:
-                if len(chosen) >= min_size:
-                    found.append(sorted(chosen))
-                return
-            best = max(open_ | done, key=lambda v: len(near[v] & open_))
-            for v in sorted(open_ - near[best]):
-                extend([*chosen, v], open_ & near[v], done & near[v])
-                open_, done = open_ - {v}, done | {v}
-
-        extend([pivot], set(near[pivot]), set())
-        mean = [sum(weight[frozenset((x, y))] for i, x in enumerate(c) for y in c[:i]) / (len(c) * (len(c) - 1) / 2) for c in found]
-        return pd.DataFrame({"members": pd.Series(found, dtype=object), "size": pd.Series([len(c) for c in found], dtype="int64"), "mean_weight": pd.Series(mean, dtype=float)})
-
-    groups = materialize(inner.unionByName(own).groupBy("pivot").applyInPandas(cliques, "members array<string>, size long, mean_weight double"), "cliques")
-    # A node with an edge to every member is met once by each of them. Whoever extends a clique is a neighbour of its member of the smallest degree.
-    degree = links.groupBy("src").agg(F.count("*").alias("d"))
-    least = groups.select("members", "size", F.explode("members").alias("src")).join(degree, "src").groupBy("members", "size").agg(F.min(F.struct("d", "src")).alias("m"))
-    outside = least.select("members", "size", F.col("m.src").alias("src")).join(links.select("src", F.col("dst").alias("w")), "src").where(~F.array_contains("members", F.col("w")))
-    met = outside.select("members", "size", "w", F.explode("members").alias("src")).join(links.select("src", F.col("dst").alias("w")), ["src", "w"])
-    larger = met.groupBy("members", "size", "w").agg(F.count("*").alias("n")).where("n = size").select("members").distinct()
-    return groups.join(larger, "members", "left_anti").orderBy(F.desc("mean_weight"), F.desc("size"), "members")
+    return maximal_cliques(strong, min_size).orderBy(F.desc("mean_weight"), F.desc("size"), "members")
