@@ -83,6 +83,7 @@ def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
     for _ in range(rounds):
         got = links.join(x, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("v") * F.col("weight")).alias("got"))
         raw = materialize(x.join(got, F.col("id") == F.col("dst"), "left").select("id", F.col("v").alias("old"), (F.col("v") + F.coalesce("got", F.lit(0.0))).alias("raw")), "raw")
+        discard(edges.sparkSession, x)
         norm = raw.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("n")).first()["n"] or 1.0
         change = raw.agg(F.sum(F.abs(F.col("raw") / norm - F.col("old"))).alias("c")).first()["c"]
         x = raw.select("id", (F.col("raw") / norm).alias("v"))
@@ -133,45 +134,120 @@ def components(links: DataFrame) -> DataFrame:
         jump = hooked.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         new = materialize(hooked.join(jump, F.col("root") == F.col("n2"), "left").select("node", "old", F.least("root", F.coalesce("r2", "root")).alias("root")), "label")
         changed = new.where("root <> old").limit(1).count()
+        discard(links.sparkSession, label, hooked)
         label = new.select("node", "root")
         if not changed:
             return label
 
 
-def communities(edges: DataFrame, rounds: int = 10, levels: int = 4) -> DataFrame:
-    """(id, community): local moves by modularity gain, then the same on the graph of communities, until none is joined.
+def communities(edges: DataFrame, rounds: int = 10, levels: int = 5) -> DataFrame:
+    """(id, community): well-connected communities of large modularity; a community has the name of one of its nodes.
 
-    A community has the name of one of its nodes.
+    Local moves place the nodes; inside each community they are placed anew, starting alone, and
+    split into connected parts; the graph of these parts is moved next, starting from the
+    communities.  Parts are what later levels move, so a community may still be taken apart.  At the
+    end a community falls into its connected parts.  Where moves gave less modularity than connected
+    components have, communities are merged by their gains instead; if that gives less too, the
+    components are taken.
     """
-    at, graph = None, edges.select("a", "b", "weight")
+    graph = materialize(edges.where("weight > 0").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight")), "graph")
+    found = connected_parts(leveled_moves(graph, rounds, levels), graph)
+    whole = components(graph).select(F.col("node").alias("id"), F.col("root").alias("community"))
+    value = lambda membership: modularity(membership, graph).first()["modularity"] or 0.0
+    least = value(whole)
+    if value(found) >= least:
+        return _with_every_end(found, edges)
+    found = connected_parts(merged_by_gain(graph), graph)
+    return _with_every_end(found if value(found) >= least else whole, edges)
+
+
+def _with_every_end(membership: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ends that have no link of positive weight, or only to themselves, are alone."""
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    return ends.join(membership, "id", "left").select("id", F.coalesce("community", "id").alias("community"))
+
+
+def inside(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """The edges whose ends are in one community."""
+    for end in ("a", "b"):
+        edges = edges.join(membership.select(F.col("id").alias(end), F.col("community").alias(f"{end}_in")), end)
+    return edges.where("a_in = b_in").select("a", "b", "weight")
+
+
+def connected_parts(membership: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community): each community's connected parts, by the smallest id in them."""
+    parts = components(inside(edges, membership))
+    return materialize(membership.select("id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("community")), "parts")
+
+
+def contracted(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """The graph of communities.  Weights inside one become a loop, which counts twice in its strength as both ends did."""
+    for end in ("a", "b"):
+        edges = edges.join(membership.select(F.col("id").alias(end), F.col("community").alias(f"{end}_in")), end)
+    return materialize(edges.groupBy(F.least("a_in", "b_in").alias("a"), F.greatest("a_in", "b_in").alias("b")).agg(F.sum("weight").alias("weight")), "contracted")
+
+
+def leveled_moves(edges: DataFrame, rounds: int, levels: int) -> DataFrame:
+    """(id, community) by local moves on a graph that is contracted by its refined parts."""
+    graph, start, at = edges, None, None
     for _ in range(levels):
-        moved = local_moves(graph, rounds)
-        before = moved.count()
+        moved = local_moves(graph, rounds, start)
+        refined = connected_parts(local_moves(graph, rounds, within=moved), graph)
+        up = refined.join(moved.select("id", F.col("community").alias("of")), "id")
+        base = up if at is None else at.select(F.col("id").alias("node"), F.col("part").alias("id")).join(up, "id").select(F.col("node").alias("id"), "community", "of")
+        at = materialize(base.select("id", F.col("community").alias("part"), F.col("of").alias("community")), "placed")
+        nodes, parts = up.count(), up.select("community").distinct().count()
+        if parts in (nodes, 1):
+            break
+        graph = contracted(graph, refined)
+        # The community of a part is named by one of its parts, as those are the nodes now.
+        of = up.select(F.col("community").alias("id"), "of").distinct()
+        named = of.groupBy("of").agg(F.min("id").alias("community"))
+        start = materialize(of.join(named, "of").select("id", "community"), "start")
+    # The nodes themselves once more, from where the levels left them.
+    return local_moves(edges, rounds, at.select("id", "community"))
+
+
+def merged_by_gain(edges: DataFrame, rounds: int = 40) -> DataFrame:
+    """(id, community): neighbours that are each other's best gain of modularity are merged until none gains."""
+    graph, at = edges, None
+    for _ in range(rounds):
+        links = both_ways(graph)
+        strength = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "strength")
+        m2 = strength.agg(F.sum("k").alias("m")).first()["m"]
+        rated = graph.where("a <> b").join(strength.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(strength.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+        rated = rated.select("a", "b", F.round(F.col("weight") - F.col("ka") * F.col("kb") / m2, 9).alias("gain")).where("gain > 0")
+        either = rated.select(F.col("a").alias("x"), F.col("b").alias("y"), "gain").unionByName(rated.select(F.col("b").alias("x"), F.col("a").alias("y"), "gain"))
+        best = either.groupBy("x").agg(F.min(F.struct(-F.col("gain"), F.least("x", "y"), F.greatest("x", "y"), "y")).alias("m")).select("x", F.col("m.y").alias("y"))
+        mutual = best.join(best.select(F.col("x").alias("y"), F.col("y").alias("back")), "y").where("x = back AND x > y").select(F.col("x").alias("id"), F.col("y").alias("into"))
+        step = materialize(strength.select("id").join(mutual, "id", "left").select("id", F.coalesce("into", "id").alias("community")), "merged")
         if at is None:
-            at = moved
+            at = step
         else:
-            up = moved.select(F.col("id").alias("community"), F.col("community").alias("joined"))
-            at = materialize(at.join(up, "community").select("id", F.col("joined").alias("community")), "community")
-        ends = graph
-        for end in ("a", "b"):
-            ends = ends.join(moved.select(F.col("id").alias(end), F.col("community").alias(f"{end}_in")), end)
-        # Weights inside a community become a loop, which counts twice in its strength as both ends did.
-        graph = materialize(ends.groupBy(F.least("a_in", "b_in").alias("a"), F.greatest("a_in", "b_in").alias("b")).agg(F.sum("weight").alias("weight")), "contracted")
-        if moved.select("community").distinct().count() in (before, 1):
+            at = materialize(at.withColumnRenamed("community", "c").join(step.select(F.col("id").alias("c"), "community"), "c").select("id", "community"), "merged")
+        if step.where("id <> community").limit(1).count() == 0:
             break
+        graph = contracted(graph, step)
     return at
 
 
-def local_moves(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): deterministic local moves by modularity gain; a half of the nodes, by a hash of id and turn, moves at a time."""
+def local_moves(edges: DataFrame, rounds: int = 10, start: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(id, community): deterministic local moves by modularity gain; a half of the nodes, by a hash of id and turn, moves at a time.
+
+    Nodes start alone or as ``start`` has them.  With ``within`` (id, community) they move inside
+    these communities only; gains are those of the whole graph.
+    """
+    spark = edges.sparkSession
     links = materialize(both_ways(edges), "links")
     strength = materialize(links.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "strength")
     m2 = strength.agg(F.coalesce(F.sum("k"), F.lit(0.0)).alias("m")).first()["m"]
-    at = materialize(strength.select("id", F.col("id").alias("community")), "community")
+    bonds = links if within is None else materialize(both_ways(inside(edges, within)), "bonds")
+    at = strength.select("id", F.col("id").alias("community")) if start is None else strength.select("id").join(start, "id")
+    at = materialize(at, "community")
     still = 0
     for turn in range(2 * rounds):
         sums = at.join(strength, "id").groupBy("community").agg(F.sum("k").alias("total"))
-        to = links.where("src <> dst").join(at, F.col("dst") == F.col("id")).groupBy("src", "community").agg(F.sum("weight").alias("inside"))
+        to = bonds.where("src <> dst").join(at, F.col("dst") == F.col("id")).groupBy("src", "community").agg(F.sum("weight").alias("inside"))
         mine = at.select(F.col("id").alias("src"), F.col("community").alias("own")).join(strength.select(F.col("id").alias("src"), "k"), "src")
         stay = mine.select("src", F.col("own").alias("community"), F.lit(0.0).alias("inside"))
         options = to.unionByName(stay).groupBy("src", "community").agg(F.sum("inside").alias("inside"))
@@ -182,9 +258,11 @@ def local_moves(edges: DataFrame, rounds: int = 10) -> DataFrame:
         moves = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(2)) == 0
         new = materialize(at.join(best, F.col("id") == F.col("src"), "left").select("id", F.col("community").alias("old"), F.when(moves, F.coalesce("b.community", "community")).otherwise(F.col("community")).alias("community")), "community")
         still = 0 if new.where("community <> old").limit(1).count() else still + 1
+        discard(spark, at)
         at = new.select("id", "community")
         if still == 3:
             break
+    discard(spark, links, strength)
     return at
 
 
