@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidgraph.functions.ranks import running
 from bidgraph.operators.graph import memberships
 
 #: The feature matrix, in order.
@@ -110,5 +111,18 @@ def company_features(resolved: DataFrame, facts: DataFrame, dim: DataFrame, pair
 
 
 def percentile_threshold(df: DataFrame, column: str, p: float) -> DataFrame:
-    """One row: the linearly interpolated quantile, 0 for no rows."""
-    return df.agg(F.coalesce(F.percentile(column, p), F.lit(0.0)).alias("cutoff"))
+    """One row: the linearly interpolated quantile, 0 for no rows.
+
+    Values are counted, and the counts added up over ranges of the values, so no task sees them all;
+    the two values between which the quantile lies are those whose counts reach its place.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count("*").alias("n"))
+    upto = running(counts, [F.col("value")], {"upto": F.col("n")})
+    total = upto.agg(F.max("upto").alias("n")).first()["n"]
+    if total is None:
+        return upto.agg(F.lit(0.0).alias("cutoff"))
+    at = p * (total - 1)
+    low = int(at)
+    reach = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    found = upto.agg(reach(low).alias("low"), reach(min(low + 1, total - 1)).alias("high"))
+    return found.select((F.col("low") + (F.col("high") - F.col("low")) * (at - low)).alias("cutoff"))

@@ -129,6 +129,23 @@ def split(labelled: DataFrame, key: str = "company", seed: int = 42, test: float
     return labelled.select(key, "label", part.alias("part"))
 
 
+def exact_split(labelled: DataFrame, key: str = "company", seed: int = 42, test: float = 0.25, validation: float = 0.15) -> DataFrame:
+    """(key, label, part) with exact shares of each label, in the order of a seeded hash of the key.
+
+    Places within a label come from ranges with offsets.  The job fails if a key is in two parts.
+    """
+    rows = labelled.select(key, "label", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))).alias("_order"))
+    placed = running(rows, [F.col("_order"), F.col(key)], {"_place": F.lit(1).cast("long")}, within=("label",))
+    sizes = placed.groupBy("label").agg(F.count("*").alias("_size"))
+    upto = lambda share: F.floor(share * F.col("_size") + 0.5)
+    part = F.when(F.col("_place") <= upto(test), "test").when(F.col("_place") <= upto(test + validation), "validation").otherwise("train")
+    parts = materialize(placed.join(sizes, "label").select(key, "label", part.alias("part")), "split")
+    shared = parts.groupBy(key).agg(F.count_distinct("part").alias("n")).where("n > 1")
+    if not shared.isEmpty():
+        raise ValueError(f"the parts of the split share keys, such as {shared.first()[key]}")
+    return parts
+
+
 def neighbour_means(features: DataFrame, edges: DataFrame, key: str = "company", columns=FEATURES) -> DataFrame:
     """Features with the weighted mean of each over a company's neighbours, named ``near_...``."""
     around = edges.select(F.col("a").alias(key), F.col("b").alias("peer"), "weight").unionByName(edges.select(F.col("b").alias(key), F.col("a").alias("peer"), "weight"))

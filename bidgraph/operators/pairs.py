@@ -35,6 +35,19 @@ def cobid_pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("company_a", "company_b").agg(F.count("*").alias("shared_tenders"), F.avg("gap").alias("mean_price_gap"))
 
 
+def tender_lists(facts: DataFrame, dim: DataFrame, length: int = 1000) -> DataFrame:
+    """(company_a, company_b, part, tenders): the tenders of a pair in the order in which they were first seen, ``length`` to a part.
+
+    Rows of a pair are ordered inside its exchange, where they spill, and no list is longer than a part.
+    """
+    seen = facts.select("tender", "company").join(dim.select("tender", "tender_seq"), "tender")
+    a, b = seen.withColumnRenamed("company", "company_a"), seen.select(F.col("tender").alias("tender_b"), F.col("company").alias("company_b"))
+    rows = a.join(b, (F.col("tender") == F.col("tender_b")) & (F.col("company_a") < F.col("company_b"))).select("company_a", "company_b", "tender_seq", "tender")
+    place = F.row_number().over(W.partitionBy("company_a", "company_b").orderBy("tender_seq", "tender")) - 1
+    placed = rows.select("company_a", "company_b", "tender", place.alias("place")).withColumn("part", F.floor(F.col("place") / length))
+    return placed.groupBy("company_a", "company_b", "part").agg(F.array_sort(F.collect_list(F.struct("place", "tender"))).alias("list")).select("company_a", "company_b", "part", F.col("list.tender").alias("tenders"))
+
+
 def alternating_wins(facts: DataFrame, dim: DataFrame) -> DataFrame:
     """(company_a, company_b, alternating_wins): changes of winner, in feed order, over tenders won by either."""
     lost = facts.select("tender", "company").join(dim.where("winner IS NOT NULL").select("tender", "winner", "tender_seq"), "tender").where("company <> winner")
@@ -58,10 +71,11 @@ def document_pairs(documents: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.count_distinct("hash").alias("shared"))
 
 
-def pair_features(resolved: DataFrame, facts: DataFrame, dim: DataFrame, documents: DataFrame | None = None, membership: DataFrame | None = None) -> DataFrame:
-    """The ten pair features of every pair that met in a tender."""
+def pair_features(resolved: DataFrame, facts: DataFrame, dim: DataFrame, documents: DataFrame | None = None, membership: DataFrame | None = None, met: DataFrame | None = None) -> DataFrame:
+    """The ten pair features of every pair that met in a tender; ``met`` are their ``cobid_pairs`` if they are there already."""
     counts = facts.where("company IS NOT NULL").groupBy("company").agg(F.count("*").alias("n"))
-    out = cobid_pairs(pair_rows(facts)).join(alternating_wins(facts, dim), ["company_a", "company_b"], "left")
+    met = cobid_pairs(pair_rows(facts)) if met is None else met
+    out = met.join(alternating_wins(facts, dim), ["company_a", "company_b"], "left")
     out = out.join(counts.select(F.col("company").alias("company_a"), F.col("n").alias("n_a")), "company_a").join(counts.select(F.col("company").alias("company_b"), F.col("n").alias("n_b")), "company_b")
 
     def beside(table: DataFrame, name: str) -> None:

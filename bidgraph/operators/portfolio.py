@@ -269,6 +269,61 @@ def replay_tenders(actions: DataFrame) -> DataFrame:
     return steps.select("tender_id", F.aggregate("steps", F.lit("Draft"), step).alias("status"), F.size("steps").alias("actions"))
 
 
+#: Status by status and action; what is not named changes nothing.
+LIFECYCLE = {
+    "Draft": {"publish": "Open", "withdraw": "Withdrawn", "remove": "Removed"},
+    "Open": {"close": "Closed", "withdraw": "Withdrawn", "award": "Awarded"},
+    "Closed": {"award": "Awarded"},
+    "Withdrawn": {"withdraw": "Withdrawn", "remove": "Removed"},
+    "Awarded": {},
+    "Removed": {"withdraw": "Withdrawn"},
+}
+
+
+def award_lifecycle(actions: DataFrame, bids: DataFrame, chunk: int = 4096) -> DataFrame:
+    """(tender_id, status, awarded_bid, refused, actions) after (tender_id, seq, action, bid_id) in order; an award has to name a bid of its tender.
+
+    Which awards do is known from a join before the fold.  A tender's actions are folded by chunks,
+    ``chunk`` of their numbers wide, each for every status in which it may begin, so a tender with
+    very many actions is many groups; of each chunk a list of six ends is left, and these are put in
+    a row.
+    """
+    own = bids.select("tender_id", "bid_id", F.lit(True).alias("own")).distinct()
+    checked = actions.join(own, ["tender_id", "bid_id"], "left")
+    foreign = (F.col("action") == "award") & F.col("own").isNull()
+    steps = checked.select("tender_id", "seq", F.when(foreign, "refused").otherwise(F.col("action")).alias("action"), F.when(F.col("action") == "award", F.col("bid_id")).alias("bid"), foreign.alias("foreign"))
+    table = F.create_map(*[F.lit(x) for status, by in LIFECYCLE.items() for action, to in by.items() for x in (f"{status}:{action}", to)])
+    after = lambda s, a: F.coalesce(F.try_element_at(table, F.concat_ws(":", s["status"], a["action"])), s["status"])
+
+    def step(s: Column, a: Column) -> Column:
+        to = after(s, a)
+        won = (to == "Awarded") & (s["status"] != "Awarded")
+        return F.struct(to.alias("status"), F.when(won, a["bid"]).otherwise(s["bid"]).alias("bid"))
+
+    none = F.lit(None).cast("string")
+    begin = lambda s: F.struct(s.alias("status"), none.alias("bid"))
+    chunks = steps.groupBy("tender_id", F.floor(F.col("seq") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("seq", "action", "bid"))).alias("steps"), F.count_if("foreign").alias("refused"), F.count("*").alias("actions"))
+    ends = F.array(*[F.struct(F.lit(s).alias("from"), F.aggregate("steps", begin(F.lit(s)), step).alias("to")) for s in LIFECYCLE])
+    chunks = chunks.select("tender_id", "chunk", ends.alias("ends"), "refused", "actions")
+    rows = chunks.groupBy("tender_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "ends"))).alias("chunks"), F.sum("refused").alias("refused"), F.sum("actions").alias("actions"))
+
+    def across(s: Column, c: Column) -> Column:
+        to = F.element_at(F.filter(c["ends"], lambda e: e["from"] == s["status"]), 1)["to"]
+        return F.struct(to["status"].alias("status"), F.coalesce(s["bid"], to["bid"]).alias("bid"))
+
+    return rows.select("tender_id", F.aggregate("chunks", begin(F.lit("Draft")), across).alias("end"), "refused", "actions").select("tender_id", "end.status", F.col("end.bid").alias("awarded_bid"), "refused", "actions")
+
+
+def signal_trend(bids: DataFrame, scores: DataFrame, date_col: str = "submission_date", unit: str = "month") -> DataFrame:
+    """(period, low, medium, high, critical): bids per period by their bidder's band; periods without bids are there with zeros."""
+    banded = bids.join(scores.select("bidder_id", "score"), "bidder_id", "left").select(F.trunc(F.to_date(date_col), unit).alias("period"), F.lower(portfolio_band(F.coalesce("score", F.lit(0)))).alias("band"))
+    bands = ("low", "medium", "high", "critical")
+    counts = banded.where("period IS NOT NULL").groupBy("period").pivot("band", list(bands)).count()
+    ends = counts.agg(F.min("period").alias("a"), F.max("period").alias("b")).where("a IS NOT NULL")
+    every = ends.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL 1 {unit}"))).alias("period"))
+    return every.join(counts, "period", "left").select("period", *[F.coalesce(b, F.lit(0)).cast("long").alias(b) for b in bands])
+
+
 def registry_check(bidders: DataFrame, registry: DataFrame, left_on: str, right_on: str, good: Column, labels: tuple[str, str, str]) -> DataFrame:
     """(bidder_id, status): look up an upper-cased key; ``labels``: good, found but not good, absent."""
     one = registry.groupBy(F.upper(F.trim(right_on)).alias("key")).agg(F.bool_or(good).alias("good"))

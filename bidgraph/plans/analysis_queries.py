@@ -53,10 +53,10 @@ def query(sql: str | None = None):
 def of_partition(spark, folder, parts=None):
     """Features with the communities of a given partition and the centrality that needs no iteration."""
     rows, facts, dim = parts or core(spark, folder)
-    member = given_communities(rows)
-    community = networks.company_communities(member.withColumnRenamed("company", "id"), N.projection(spark, folder, (rows, facts, dim)), facts, dim)
-    centrality = networks.company_centrality(N.undirected(spark, folder, (rows, facts, dim)), N.companies(facts), measures=())
-    met = all_pairs(spark, folder, (rows, facts, dim))
+    member, counted = given_communities(rows), N.counted(facts)
+    community = networks.company_communities(member.withColumnRenamed("company", "id"), N.projection(spark, folder, (rows, facts, dim), counted), facts, dim)
+    centrality = networks.company_centrality(N.undirected(spark, folder, (rows, facts, dim), counted), N.companies(facts), measures=())
+    met = all_pairs(spark, folder, (rows, facts, dim), met=counted)
     return materialize(features.company_features(rows, facts, dim, met, SETTINGS, centrality, community), "features")
 
 
@@ -87,10 +87,11 @@ def analyse(spark, folder) -> dict:
     """
     parts = core(spark, folder)
     rows, facts, dim = parts
-    member, projection = N.detected(spark, folder, parts)
+    counted = N.counted(facts)
+    member, projection = N.detected(spark, folder, parts, counted)
     community = networks.company_communities(member, projection, facts, dim)
-    centrality = networks.company_centrality(N.undirected(spark, folder, parts), N.companies(facts))
-    met = all_pairs(spark, folder, parts, member.withColumnRenamed("id", "company"))
+    centrality = networks.company_centrality(N.undirected(spark, folder, parts, counted), N.companies(facts))
+    met = all_pairs(spark, folder, parts, member.withColumnRenamed("id", "company"), counted)
     found = materialize(features.company_features(rows, facts, dim, met, SETTINGS, centrality, community), "features")
     flags = signals.availability(rows).first().asDict()
     fired = materialize(N.whole_signals(found, flags), "signals")

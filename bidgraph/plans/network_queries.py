@@ -33,14 +33,19 @@ def query(sql: str | None = None):
     return register
 
 
-def undirected(spark, folder, parts=None):
+def counted(facts):
+    """Co-bid pairs, written once: the join of bidders on their tenders is the largest shuffle."""
+    return materialize(pairs.cobid_pairs(pairs.pair_rows(facts)), "counted")
+
+
+def undirected(spark, folder, parts=None, met=None):
     rows, facts, dim = parts or core(spark, folder)
-    return materialize(graph.undirected(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts)))), "undirected")
+    return materialize(graph.undirected(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts)) if met is None else met)), "undirected")
 
 
-def projection(spark, folder, parts=None):
+def projection(spark, folder, parts=None, met=None):
     rows, facts, dim = parts or core(spark, folder)
-    found = pairs.cobid_pairs(pairs.pair_rows(facts))
+    found = pairs.cobid_pairs(pairs.pair_rows(facts)) if met is None else met
     people, places = (pairs.attribute_pairs(graph.memberships(rows, k)) for k in ("person", "address"))
     return materialize(graph.company_projection(found, people, places), "projection")
 
@@ -49,9 +54,9 @@ def companies(facts):
     return facts.where("company IS NOT NULL").select(F.col("company").alias("id")).distinct()
 
 
-def detected(spark, folder, parts):
+def detected(spark, folder, parts, met=None):
     """(id, community) of all companies and the full company projection they were found in."""
-    edges = projection(spark, folder, parts)
+    edges = projection(spark, folder, parts, met)
     return networks.memberships(companies(parts[1]), edges), edges
 
 
@@ -59,10 +64,11 @@ def whole_features(spark, folder, parts=None, measures=("pagerank", "eigenvector
     """All features, with communities of the company projection and centrality in the graph of all nodes."""
     parts = parts or core(spark, folder)
     rows, facts, dim = parts
-    member, edges = detected(spark, folder, parts)
+    met = counted(facts)
+    member, edges = detected(spark, folder, parts, met)
     community = networks.company_communities(member, edges, facts, dim)
-    centrality = networks.company_centrality(undirected(spark, folder, parts), companies(facts), measures)
-    met = all_pairs(spark, folder, parts, member.withColumnRenamed("id", "company"))
+    centrality = networks.company_centrality(undirected(spark, folder, parts, met), companies(facts), measures)
+    met = all_pairs(spark, folder, parts, member.withColumnRenamed("id", "company"), met)
     return materialize(features.company_features(rows, facts, dim, met, SETTINGS, centrality, community), "features")
 
 

@@ -58,10 +58,10 @@ def filed_documents(spark: SparkSession, folder: str, rows: DataFrame) -> DataFr
     return graph.submitted_documents(spread.join(docs, "doc_id").withColumn("document_hashes", F.array("hash")))
 
 
-def all_pairs(spark: SparkSession, folder: str, parts=None, membership: DataFrame | None = None) -> DataFrame:
-    """Pair features; ``membership``: (company, community), the given partition if there is none."""
+def all_pairs(spark: SparkSession, folder: str, parts=None, membership: DataFrame | None = None, met: DataFrame | None = None) -> DataFrame:
+    """Pair features; ``membership``: (company, community), the given partition if there is none; ``met``: pairs that are counted already."""
     rows, facts, dim = parts or core(spark, folder)
-    found = pairs.pair_features(rows, facts, dim, filed_documents(spark, folder, rows), communities(rows) if membership is None else membership)
+    found = pairs.pair_features(rows, facts, dim, filed_documents(spark, folder, rows), communities(rows) if membership is None else membership, met)
     return materialize(found, "pairs")
 
 
