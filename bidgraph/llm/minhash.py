@@ -239,12 +239,22 @@ def _block_links(width: int, percent: int):
     return compare
 
 
+def _each_once(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """``texts`` with the equal texts of an id that stands on several rows taken once; pairs of ids are confirmed on these."""
+    several = materialize(prints.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "several")
+    if several.isEmpty():
+        return texts
+    once = texts.join(several, "id").groupBy("id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.first("text").alias("text")).select("id", "text")
+    return texts.join(several, "id", "left_anti").unionByName(materialize(once, "once"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id, kept) per row of ``docs``; links at ``percent`` or more."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = materialize(texts.select("id", _fingerprint(width, bands, rows)("text").alias("p")).select("id", "p.*"), "prints")
     some = prints.where("n_shingles > 0 AND id IS NOT NULL")
+    texts = _each_once(texts, some)
     classes = materialize(some.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "classes")
 
     member = classes.select("rep", F.posexplode("bands").alias("band", "key")).select("rep", "band", F.xxhash64("band", "key").alias("bucket"))

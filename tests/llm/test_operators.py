@@ -499,3 +499,17 @@ def test_empty_tables(spark):
     assert toxicity.judge_documents(none, toxicity.fit(none, labels)).count() == 0
     assert decontam.match_documents(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert public_tokenizers.PATTERN
+
+
+def test_an_id_on_very_many_equal_rows_is_confirmed_once(spark, monkeypatch):
+    """Two ids on 5,000 rows each are one pair for the confirmation, not 25 million."""
+    from bidgraph.llm import minhash
+
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words))] * 5000 + [(2, " ".join([*words, "more"]))] * 5000 + [(3, "quite another text of a few words")]
+    seen = []
+    verified = minhash._verified
+    monkeypatch.setattr(minhash, "_verified", lambda pairs, classes, texts, *more: seen.append(texts.count()) or verified(pairs, classes, texts, *more))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    assert {(r.doc_id, r.component_id, r.kept) for r in found.distinct().collect()} == {(1, 1, True), (2, 1, False), (3, 3, True)} and found.count() == 10001
+    assert seen == [3]
