@@ -83,6 +83,14 @@ def resolve_keys(keys: DataFrame, bids: DataFrame) -> DataFrame:
     return joined.select("key", F.coalesce("by_id", "by_alias", "by_name").alias("canonical"))
 
 
+def resolve_tenders(keys: DataFrame, tenders: DataFrame) -> DataFrame:
+    """(key, tender) of tender lookups: a node id of ``tenders`` (tender), or what is one after ``T_``."""
+    known = tenders.select("tender").distinct()
+    asked = keys.select("key", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("key").alias("tender")), F.struct(F.lit(1).alias("turn"), F.concat(F.lit("T_"), "key").alias("tender")))).alias("c"))
+    found = asked.select("key", "c.*").join(known, "tender").groupBy("key").agg(F.min_by("tender", "turn").alias("tender"))
+    return keys.join(found, "key", "left").select("key", "tender")
+
+
 def summary(bids: DataFrame) -> DataFrame:
     """Counts of records, canonical entities, merged identities and address spellings."""
     per = identity_index(bids).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.size("aliases") > 1).alias("merged"))

@@ -54,6 +54,57 @@ def tender_bidders(facts: DataFrame, dim: DataFrame, scores: DataFrame) -> DataF
     return rows.select("tender", "company", "bid_amount", F.coalesce(F.col("winner") == F.col("company"), F.lit(False)).alias("winner"), "risk_score")
 
 
+LISTED = 50  # ids that a profile lists
+
+
+def first_names(members: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the displays of the first LISTED ids, in order of the ids, of distinct (key, id); ``names``: (id, display)."""
+    place = F.row_number().over(W.partitionBy(key).orderBy("id"))
+    first = members.withColumn("place", place).where(F.col("place") <= LISTED).join(names, "id", "left")
+    return first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("display", "id").alias("display")))).alias("list")).select(key, F.col("list.display").alias(name))
+
+
+def company_details(resolved: DataFrame, nodes: DataFrame, features: DataFrame, scores: DataFrame) -> DataFrame:
+    """Each company with its score and band, the names of its directors and addresses, and its features as a map."""
+    from bidgraph.operators.features import FEATURES
+    from bidgraph.operators.graph import memberships
+
+    names = nodes.select("id", "display")
+    out = scores.select("company", "risk_score", "risk_level")
+    for kind, name in (("person", "directors"), ("address", "addresses")):
+        listed = first_names(memberships(resolved, kind).select("company", F.col("attr").alias("id")), names, "company", name)
+        out = out.join(listed, "company", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    matrix = F.create_map(*[x for c in FEATURES for x in (F.lit(c), F.round(c, 4))]).alias("features")
+    return out.join(features.select("company", matrix), "company", "left")
+
+
+def tender_profiles(signalled: DataFrame, scores: DataFrame, nodes: DataFrame, settings) -> DataFrame:
+    """Each tender with its department's and winner's names, metrics, signals, score, and whether a person has to look at it."""
+    from bidgraph.operators.signals import risk_level
+
+    out = signalled.join(scores.select("tender", "risk_score"), "tender", "left")
+    for c in ("department", "winner"):
+        out = out.join(nodes.select(F.col("id").alias(c), F.col("display").alias(f"{c}_name")), c, "left")
+    score = F.coalesce("risk_score", F.lit(0.0))
+    metrics = ("n_bidders", "bid_spread", "min_bid", "max_bid", "winning_bid", "tender_value", "winning_margin_vs_estimate", "mean_losing_margin", "losing_margin_std", "single_bidder")
+    return out.select("tender", "department_name", "winner_name", *metrics, F.transform("signals", lambda x: x["code"]).alias("codes"), score.alias("risk_score"), risk_level(score).alias("risk_level"), (score >= settings.alert_threshold).alias("to_investigate"))
+
+
+def overall_text(companies: DataFrame, counts: DataFrame, mode: str, settings) -> DataFrame:
+    """One row (text): how much was analysed and how, how many companies reached the alert threshold, and the three riskiest."""
+    how = {"model": "a learnt score blended with graph rules", "anomaly": "anomaly detection blended with graph rules"}.get(mode, "graph rules alone")
+    flagged = companies.agg(F.count_if(F.col("risk_score") >= settings.alert_threshold).alias("flagged"))
+    three = companies.orderBy(F.desc("risk_score"), "company").limit(3)
+    top = three.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("risk_score")).alias("s"), "company"))), lambda x: F.concat(x["company"], F.lit(" ("), F.format_number(-x["s"], 0), F.lit(")"))), ", ").alias("top"))
+    one = F.lit(1).alias("one")
+    row = counts.select(one, "companies", "tenders").join(flagged.select(one, "flagged"), "one").join(top.select(one, "top"), "one")
+    text = F.concat(
+        F.lit("Looked at "), F.col("companies").cast("string"), F.lit(" companies in "), F.col("tenders").cast("string"), F.lit(f" tenders with {how}. "), F.col("flagged").cast("string"), F.lit(f" reached the alert threshold of {settings.alert_threshold:.0f}; the highest are "),
+        F.when(F.col("top") != "", F.col("top")).otherwise("none"), F.lit(". Scores are priorities for people to check and say nothing about wrongdoing."),
+    )
+    return row.select(text.alias("text"))
+
+
 def cluster_signals(components: DataFrame, signals: DataFrame) -> DataFrame:
     """(root, code, company, contribution): per cluster and display code the member with the strongest signal."""
     rows = signals.join(components.select(F.col("node").alias("company"), "root"), "company")

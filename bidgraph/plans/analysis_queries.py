@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidgraph.operators import features, graph, model, networks, pairs, signals, views
+from bidgraph.functions import clean
+from bidgraph.operators import features, graph, identity, model, networks, pairs, signals, views
 from bidgraph.plans import network_queries as N
 from bidgraph.plans.risk_queries import SETTINGS, all_pairs, core, r4
 from bidgraph.plans.risk_queries import communities as given_communities
 from bidgraph.plans.sql import CTE, with_tables
 from bidgraph.plans.storage import materialize
+from bidgraph.plans.tables import table
+from bidgraph.sources import market
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -102,7 +105,7 @@ def analyse(spark, folder) -> dict:
     tenders = signals.score_tenders(signals.tender_signals(features.tender_features(facts, dim), SETTINGS), facts, companies)
     return {
         "mode": mode, "features": found, "companies": companies, "tenders": tenders, "communities": member, "projection": projection, "relationships": pairs.relationship_risk(met, SETTINGS),
-        "rollup": signals.signal_rollup(fired), "headline": views.headline(companies), "alerts": views.alerts(companies, tenders, SETTINGS.alert_threshold),
+        "facts": facts, "dim": dim, "rollup": signals.signal_rollup(fired), "headline": views.headline(companies), "alerts": views.alerts(companies, tenders, SETTINGS.alert_threshold),
     }
 
 
@@ -117,3 +120,72 @@ def full_analysis(spark, folder):
     actions = signals.recommended_actions(F.col("signals"), F.col("risk_score"), SETTINGS).alias("actions")
     tenders = done["tenders"].select(F.lit("tender").alias("entity_type"), F.col("tender").alias("entity_id"), "risk_score", "risk_level", F.lit(None).cast("double").alias("model_probability"), codes, nothing, actions)
     return companies.unionByName(tenders)
+
+
+def _section(name: str, rows, key, score) -> object:
+    """(section, id, score, body): rows of one table of the analysis, with all their columns as JSON."""
+    return rows.select(F.lit(name).alias("section"), key.cast("string").alias("id"), score.cast("double").alias("score"), F.to_json(F.struct(*rows.columns)).alias("body"))
+
+
+@query()
+def analysis_report(spark, folder):
+    """What one analysis gives, in sections: headline, companies, tenders, relationships, communities, rollup and alerts."""
+    done = analyse(spark, folder)
+    counts = done["facts"].agg(F.count_distinct("company").alias("companies"), F.count_distinct("tender").alias("tenders"))
+    head = done["headline"].withColumns({"risk_level": signals.risk_level(F.col("risk_score")), "mode": F.lit(done["mode"]), "one": F.lit(1)})
+    text = views.overall_text(done["companies"], counts, done["mode"], SETTINGS).withColumn("one", F.lit(1))
+    pair = F.concat_ws("|", "company_a", "company_b")
+    sizes = done["communities"].groupBy("community").agg(F.count("*").alias("size"))
+    parts = [
+        _section("headline", head.join(text, "one").drop("one"), F.lit("analysis"), F.col("risk_score")), _section("company", done["companies"], F.col("company"), F.col("risk_score")), _section("tender", done["tenders"], F.col("tender"), F.col("risk_score")),
+        _section("relationship", done["relationships"], pair, F.col("risk") * 100), _section("community", done["communities"].join(sizes, "community"), F.col("id"), F.col("size")), _section("rollup", done["rollup"], F.col("code"), F.col("companies")),
+        _section("alert", done["alerts"], F.col("entity_id"), F.col("risk_score")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("""SELECT s.company, round(risk_score, 2)::DOUBLE AS risk_score, coalesce(directors, []) AS directors, coalesce(addresses, []) AS addresses, round(degree_centrality::DOUBLE, 4) AS degree_centrality FROM part_scores s JOIN part_features USING (company)
+  LEFT JOIN (SELECT company, list_slice(list(display ORDER BY person), 1, 50) AS directors FROM (SELECT DISTINCT company, person FROM resolved WHERE person IS NOT NULL) JOIN person_entity ON person = canonical GROUP BY 1) USING (company)
+  LEFT JOIN (SELECT company, list_slice(list(display ORDER BY addr), 1, 50) AS addresses FROM (SELECT DISTINCT company, addr FROM resolved WHERE addr IS NOT NULL) JOIN address_entity ON addr = canonical GROUP BY 1) USING (company)""")
+def company_details(spark, folder):
+    """Directors, addresses, score and features of each company, with the communities of the given partition."""
+    parts = core(spark, folder)
+    found = of_partition(spark, folder, parts)
+    scores = signals.score_companies(N.whole_signals(found), SETTINGS)
+    nodes = materialize(graph.nodes(market.bid_feed(spark, folder), parts[0]), "nodes")
+    return views.company_details(parts[0], nodes, found, scores).select("company", "risk_score", "directors", "addresses", F.col("features.degree_centrality").alias("degree_centrality"))
+
+
+@query("""SELECT t.tender, d.display AS department_name, w.display AS winner_name, n_bidders, round(bid_spread, 4) AS bid_spread, single_bidder, coalesce(codes, []) AS codes, floor(least(1, 0.55 * coalesce(own, 0) + 0.45 * coalesce(worst, 0) / 100) * 100 * 100 + 0.5) / 100 AS risk_score
+  FROM tender_features t LEFT JOIN department_entity d ON d.canonical = t.department LEFT JOIN company_entity w ON w.canonical = t.winner
+  LEFT JOIN (SELECT tender, avg(severity) AS own, list(code ORDER BY code) AS codes FROM tender_fired GROUP BY tender) o ON t.tender = o.tender
+  LEFT JOIN (SELECT tender, max(risk_score) AS worst FROM facts JOIN part_scores USING (company) GROUP BY tender) r ON t.tender = r.tender""")
+def tender_profiles(spark, folder):
+    """Metrics, signals and score of each tender, by companies' scores with the communities of the given partition."""
+    parts = core(spark, folder)
+    scores = signals.score_companies(N.whole_signals(of_partition(spark, folder, parts)), SETTINGS)
+    fired = materialize(signals.tender_signals(features.tender_features(parts[1], parts[2]), SETTINGS), "tender-signals")
+    nodes = materialize(graph.nodes(market.bid_feed(spark, folder), parts[0]), "nodes")
+    out = views.tender_profiles(fired, signals.score_tenders(fired, parts[1], scores), nodes, SETTINGS)
+    return out.select("tender", "department_name", "winner_name", "n_bidders", r4("bid_spread"), "single_bidder", F.array_sort("codes").alias("codes"), "risk_score")
+
+
+@query("SELECT key, CASE WHEN key IN (SELECT tender FROM facts) THEN key WHEN 'T_' || key IN (SELECT tender FROM facts) THEN 'T_' || key END AS tender FROM (SELECT (CASE o_orderkey % 3 WHEN 0 THEN 'T_T' WHEN 1 THEN 'T' ELSE 'X' END) || o_orderkey AS key FROM orders)")
+def resolve_tender_lookup(spark, folder):
+    """Tenders by node id, by the feed's id, and unknown ones."""
+    o = F.col("o_orderkey")
+    keys = table(spark, folder, "orders").select(F.concat(F.when(o % 3 == 0, "T_T").when(o % 3 == 1, "T").otherwise("X"), o.cast("string")).alias("key"))
+    return identity.resolve_tenders(keys, core(spark, folder)[1])
+
+
+@query("""SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 1 AS fits FROM documents""")
+def document_signatures(spark, folder):
+    """Whether the first bytes of an upload fit its extension: texts under three kinds of names, half of them behind the bytes of their kind."""
+    docs, kind = table(spark, folder, "documents"), F.col("doc_id") % 4
+    name = F.concat(F.lit("upload."), F.when(kind.isin(0, 2), "pdf").otherwise("docx"))
+    head = F.when(kind == 0, "%PDF-").when(kind == 1, "PK").otherwise("text ")
+    content = F.base64(F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8"))
+    return docs.select("doc_id", clean.has_document_signature(name, F.regexp_replace(content, r"\s", "")).alias("fits"))

@@ -1,16 +1,19 @@
 """Lookups and figures against their SQL and plain rewritings."""
 
+import json
 import random
+import re
 
 import pytest
 from compare import assert_same
 from pyspark.sql import functions as F
 
+from bidgraph.functions.settings import PROHIBITED_TERMS
 from bidgraph.operators import features, model, pairs, portfolio
 from bidgraph.operators.neighbourhood import neighbours_within
 from bidgraph.plans import analysis_queries, registry
 
-NAMES = "neighbours_within_1 neighbours_within_2 neighbours_within_3 pair_tenders degree_centrality_cutoff exact_split award_lifecycle signal_trend partition_scores".split()
+NAMES = "neighbours_within_1 neighbours_within_2 neighbours_within_3 pair_tenders degree_centrality_cutoff exact_split award_lifecycle signal_trend company_details tender_profiles resolve_tender_lookup document_signatures".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -18,6 +21,15 @@ def test_query_equals_sql(spark, sf, name):
     assert_same(registry.QUERIES[name](spark, sf), registry.ORACLE_SQL[name], sf)
 
 
+def test_the_report_has_all_sections_of_one_analysis(spark, sf):
+    rows = registry.QUERIES["analysis_report"](spark, sf).collect()
+    sections = {r.section for r in rows}
+    assert sections == {"headline", "company", "tender", "relationship", "community", "rollup", "alert"} or sections == {"headline", "company", "tender", "relationship", "community", "rollup"}
+    head = json.loads(next(r.body for r in rows if r.section == "headline"))
+    assert head["risk_score"] == max(r.score for r in rows if r.section == "company") and head["mode"] in ("model", "anomaly") and head["text"].startswith("Looked at 10 companies")
+    assert not re.search(r"\b(" + "|".join(PROHIBITED_TERMS) + r")\b", head["text"].lower())
+
+
 @pytest.mark.parametrize("limit", [3, 7, 500])
 def test_neighbours_are_the_nearest_then_the_smallest(spark, limit):
     rng = random.Random(limit)
