@@ -53,13 +53,13 @@ def query(sql: str | None = None):
     return register
 
 
-def of_partition(spark, folder, parts=None):
-    """Features with the communities of a given partition and the centrality that needs no iteration."""
+def of_partition(spark, folder, parts=None, member=None):
+    """Features with the communities of a given partition (company, community) and the centrality that needs no iteration."""
     rows, facts, dim = parts or core(spark, folder)
-    member, counted = given_communities(rows), N.counted(facts)
+    member, counted = given_communities(rows) if member is None else member, N.counted(facts)
     community = networks.company_communities(member.withColumnRenamed("company", "id"), N.projection(spark, folder, (rows, facts, dim), counted), facts, dim)
     centrality = networks.company_centrality(N.undirected(spark, folder, (rows, facts, dim), counted), N.companies(facts), measures=())
-    met = all_pairs(spark, folder, (rows, facts, dim), met=counted)
+    met = all_pairs(spark, folder, (rows, facts, dim), member, counted)
     return materialize(features.company_features(rows, facts, dim, met, SETTINGS, centrality, community), "features")
 
 
@@ -75,6 +75,19 @@ def partition_signals(spark, folder):
     return rows.select("company", "s.code", F.round("s.severity", 4).alias("severity"), "s.weight")
 
 
+@query()
+def ringed_signals(spark, folder):
+    """The signals of a market with bidding rings, each a community: rotation, repeated co-bidding, concentration and density fire on some companies."""
+    parts = core(spark, folder, market.bid_feed(spark, folder, market.ringed(table(spark, folder, "lineitem"))))
+    ring = F.when(F.col("supplier") < 80, F.floor(F.col("supplier") / 4)).otherwise(20)
+    member = parts[0].groupBy("company").agg(F.min_by(ring, "row_seq").alias("community"))
+    rows = N.whole_signals(of_partition(spark, folder, parts, member)).select("company", F.explode("signals").alias("s"))
+    return rows.select("company", "s.code", F.round("s.severity", 4).alias("severity"), "s.weight")
+
+
+ORACLE_SQL["ringed_signals"] = ORACLE_SQL["partition_signals"].replace("FROM lineitem JOIN supplier", f"FROM {market.RINGED} lineitem JOIN supplier").replace("arg_min(supplier % 25, row_seq)", "arg_min(CASE WHEN supplier < 80 THEN supplier // 4 ELSE 20 END, row_seq)")
+
+
 @query("SELECT company, round(rule_score, 4)::DOUBLE AS rule_score, round(risk_score, 2)::DOUBLE AS risk_score, codes FROM part_scores")
 def partition_scores(spark, folder):
     scored = signals.score_companies(N.whole_signals(of_partition(spark, folder)), SETTINGS)

@@ -120,6 +120,31 @@ def pagerank(spark, folder):
     return networks.pagerank(undirected(spark, folder))
 
 
+def _chain(start: str, step: str, rounds: int) -> str:
+    """Parts r0, r1, ... of a WITH clause; ``step`` makes one from the last, {0}."""
+    return ", ".join([f"r0 AS ({start})"] + [f"r{k} AS ({step.format(f'r{k - 1}')})" for k in range(1, rounds + 1)])
+
+
+ROUNDS = 5
+_N = "(SELECT count(*) FROM u_degree)"
+
+
+@query("WITH share AS MATERIALIZED (SELECT u.src, dst, weight / weighted_degree AS share FROM u_ends u JOIN u_degree d ON u.src = d.id), " + _chain(
+    f"SELECT id, 1.0::DOUBLE / {_N} AS p FROM u_degree", f"SELECT d.id, 0.15 / {_N} + 0.85 * coalesce(got, 0) AS p FROM u_degree d LEFT JOIN (SELECT dst AS id, sum(p * share) AS got FROM {{0}} r JOIN share s ON r.id = s.src GROUP BY dst) g ON d.id = g.id", ROUNDS
+) + f" SELECT id, round(p * 1000, 6) AS pagerank FROM r{ROUNDS}")
+def pagerank_rounds(spark, folder):
+    """Five rounds of PageRank, in thousandths."""
+    return networks.pagerank(undirected(spark, folder), rounds=ROUNDS, tolerance=0.0).select("id", F.round(F.col("pagerank") * 1000, 6).alias("pagerank"))
+
+
+@query("WITH ends AS MATERIALIZED (SELECT src, dst, weight FROM u_ends), " + _chain(
+    f"SELECT id, 1.0::DOUBLE / {_N} AS v FROM u_degree", "SELECT id, raw / sqrt(sum(raw * raw) OVER ()) AS v FROM (SELECT r.id, r.v + coalesce(got, 0) AS raw FROM {0} r LEFT JOIN (SELECT dst AS id, sum(v * weight) AS got FROM {0} q JOIN ends e ON q.id = e.src GROUP BY dst) g ON r.id = g.id)", ROUNDS
+) + f" SELECT id, round(abs(v) * 1000, 6) AS eigenvector_centrality FROM r{ROUNDS}")
+def eigenvector_rounds(spark, folder):
+    """Five rounds of the power iteration, in thousandths."""
+    return networks.eigenvector(undirected(spark, folder), rounds=ROUNDS, tolerance=0.0).select("id", F.round(F.col("eigenvector_centrality") * 1000, 6).alias("eigenvector_centrality"))
+
+
 @query()
 def eigenvector_centrality(spark, folder):
     return networks.eigenvector(undirected(spark, folder))

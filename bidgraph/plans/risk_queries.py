@@ -39,9 +39,9 @@ def resolved(spark: SparkSession, folder: str) -> DataFrame:
     return identity.resolve(materialize(market.bid_feed(spark, folder), "feed"))
 
 
-def core(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Resolved bids, bid facts and tenders, each written once for the many joins over them."""
-    rows = materialize(resolved(spark, folder), "resolved")
+def core(spark: SparkSession, folder: str, feed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resolved bids, bid facts and tenders, each written once for the many joins over them; of ``feed``, if it is given."""
+    rows = materialize(resolved(spark, folder) if feed is None else identity.resolve(materialize(feed, "feed")), "resolved")
     return rows, materialize(graph.bid_facts(rows), "facts"), materialize(graph.tender_dim(rows), "tenders")
 
 

@@ -16,13 +16,31 @@ from bidgraph.plans.tables import table
 NAME_ENDS = (" Pvt. Ltd.", " PRIVATE LIMITED", " LLP", "")
 
 
-def bid_feed(spark: SparkSession, folder: str) -> DataFrame:
+#: Of ringed lines in SQL: every second order is bid for by one of 20 rings of four suppliers, the others by 20 suppliers outside of them.
+_RING, _LED = "(l_orderkey // 2) % 20", "(l_orderkey // 2) % 20 % 5 = 0"
+RINGED = f"""(SELECT * REPLACE (
+  CASE WHEN l_orderkey % 2 = 1 THEN 80 + l_suppkey % 20 WHEN NOT {_LED} THEN {_RING} * 4 + l_linenumber % 4 WHEN l_linenumber % 2 = 1 THEN {_RING} * 4 ELSE {_RING} * 4 + 1 + (l_linenumber // 2) % 3 END AS l_suppkey,
+  CASE WHEN l_orderkey % 2 = 0 AND {_LED} AND l_linenumber % 2 = 1 THEN 0.8 ELSE l_discount END AS l_discount) FROM lineitem)"""
+
+
+def ringed(lines: DataFrame) -> DataFrame:
+    """Lines of a market with bidding rings; in every fifth ring one member has the lowest price by far."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    ring = F.floor(order / 2) % 20
+    led, inside = ring % 5 == 0, order % 2 == 0
+    leads = led & (line % 2 == 1)
+    member = F.when(~led, line % 4).when(leads, 0).otherwise(1 + F.floor(line / 2) % 3)
+    return lines.withColumns({"l_suppkey": F.when(inside, ring * 4 + member).otherwise(80 + F.col("l_suppkey") % 20).cast("long"), "l_discount": F.when(inside & leads, 0.8).otherwise(F.col("l_discount"))})
+
+
+def bid_feed(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
     """Typed bid records with ``row_seq``, the order of the feed: a number, so that first and last rows need no sort.
 
     It is made of the order and the place of the line in it, for up to 2^24 lines an order.
+    ``lines`` stand in for the order lines.
     """
     t = lambda name: table(spark, folder, name)
-    lines = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = (t("lineitem") if lines is None else lines).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     lines = lines.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     lines = lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     k = F.col("l_suppkey")

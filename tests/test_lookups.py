@@ -13,7 +13,7 @@ from bidgraph.operators import features, model, pairs, portfolio
 from bidgraph.operators.neighbourhood import neighbours_within
 from bidgraph.plans import analysis_queries, registry
 
-NAMES = "neighbours_within_1 neighbours_within_2 neighbours_within_3 pair_tenders degree_centrality_cutoff exact_split award_lifecycle signal_trend company_details tender_profiles resolve_tender_lookup document_signatures".split()
+NAMES = "neighbours_within_1 neighbours_within_2 neighbours_within_3 pair_tenders degree_centrality_cutoff exact_split award_lifecycle signal_trend company_details tender_profiles resolve_tender_lookup document_signatures pagerank_rounds eigenvector_rounds".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -30,6 +30,18 @@ def test_the_report_has_all_sections_of_one_analysis(spark, sf):
     assert not re.search(r"\b(" + "|".join(PROHIBITED_TERMS) + r")\b", head["text"].lower())
 
 
+def test_signals_of_a_market_with_rings_fire_on_some(spark):
+    """Over the larger table, where all rings are there."""
+    larger = "/root/testdata/sf0.01"
+    found = registry.QUERIES["ringed_signals"](spark, larger)
+    assert_same(found, registry.ORACLE_SQL["ringed_signals"], larger)
+    fired = {}
+    for r in found.collect():
+        fired.setdefault(r.code, set()).add(r.company)
+    for code in ("REPEATED_CO_BIDDING", "WINNER_ROTATION", "MARKET_CONCENTRATION", "DENSE_SUBGROUP"):
+        assert 0 < len(fired[code]) < 100, code
+
+
 @pytest.mark.parametrize("limit", [3, 7, 500])
 def test_neighbours_are_the_nearest_then_the_smallest(spark, limit):
     rng = random.Random(limit)
