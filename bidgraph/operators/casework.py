@@ -218,6 +218,25 @@ def encoded_edges(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...]) ->
     return rows.select("src_node", "dst_node", code.cast("int").alias("type_code"), "weight")
 
 
+def both_directions(encoded: DataFrame) -> DataFrame:
+    """Encoded edges and their reverses, with the relation's number in either direction."""
+    return encoded.unionByName(encoded.select(F.col("dst_node").alias("src_node"), F.col("src_node").alias("dst_node"), "type_code", "weight"))
+
+
+def node_blocks(encoded: DataFrame, edges: DataFrame, features: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(id, node, x): the 0/1 type and a block of as many numbers as there are features.
+
+    A company's block are its features (company, ...); another node has its degree, parallel edges
+    counted, as a share of the largest in the first place and zeros behind it.
+    """
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+    most = ends.agg(F.greatest(F.coalesce(F.max("degree"), F.lit(1)), F.lit(1)).alias("most")).withColumn("one", F.lit(1))
+    block = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = encoded.join(ends, "id", "left").join(features.select(F.col("company").alias("id"), block.alias("block")), "id", "left").withColumn("one", F.lit(1)).join(most, "one")
+    other = F.concat(F.array(F.coalesce("degree", F.lit(0)) / F.col("most")), F.array_repeat(F.lit(0.0), len(columns) - 1))
+    return rows.select("id", "node", F.concat(F.col("one_hot").cast("array<double>"), F.coalesce("block", other)).alias("x"))
+
+
 def json_documents(rows: DataFrame, key: str) -> DataFrame:
     """(id, data): rows as JSON texts."""
     return rows.select(F.col(key).alias("id"), F.to_json(F.struct(*rows.columns)).alias("data"))

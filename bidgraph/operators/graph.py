@@ -77,6 +77,15 @@ def nodes(bids: DataFrame, resolved: DataFrame) -> DataFrame:
     return out
 
 
+def node_aliases(bids: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(id, node_type, aliases): the feed's ids and spellings of each node, in the order in which they were first seen."""
+    out = resolved.select(F.col("tender").alias("id"), F.lit("Tender").alias("node_type"), F.array("tender_id").alias("aliases")).distinct()
+    for kind, name in (("company", "Company"), ("person", "Person"), ("department", "Department"), ("address", "Address")):
+        used = resolved.where(F.col(kind).isNotNull()).select(F.col(kind).alias("id")).distinct()
+        out = out.unionByName(used.join(entities(bids, kind).select(F.col("canonical").alias("id"), "aliases"), "id").select("id", F.lit(name).alias("node_type"), "aliases"))
+    return out
+
+
 def ownership(resolved: DataFrame) -> DataFrame:
     """(person, company) of persons tied to two or more companies."""
     held = memberships(resolved, "person")

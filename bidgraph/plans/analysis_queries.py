@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bidgraph.functions import clean
-from bidgraph.operators import features, graph, identity, model, networks, pairs, signals, views
+from bidgraph.operators import casework, features, graph, identity, model, networks, pairs, signals, views
 from bidgraph.plans import network_queries as N
 from bidgraph.plans.risk_queries import SETTINGS, all_pairs, core, r4
 from bidgraph.plans.risk_queries import communities as given_communities
@@ -202,3 +202,35 @@ def document_signatures(spark, folder):
     head = F.when(kind == 0, "%PDF-").when(kind == 1, "PK").otherwise("text ")
     content = F.base64(F.encode(F.concat(head, F.coalesce("text", F.lit(""))), "UTF-8"))
     return docs.select("doc_id", clean.has_document_signature(name, F.regexp_replace(content, r"\s", "")).alias("fits"))
+
+
+@query("SELECT tender AS id, 'Tender' AS node_type, [tender_id] AS aliases FROM (SELECT DISTINCT tender, tender_id FROM resolved)" + "".join(f" UNION ALL SELECT canonical, '{name}', aliases FROM {kind}_entity WHERE canonical IN (SELECT {column} FROM resolved)" for kind, name, column in (("company", "Company", "company"), ("person", "Person", "person"), ("department", "Department", "department"), ("address", "Address", "addr"))))
+def node_aliases(spark, folder):
+    return graph.node_aliases(market.bid_feed(spark, folder), core(spark, folder)[0])
+
+
+_NUMBERED = "(SELECT id, node_type, row_number() OVER (ORDER BY id, node_type) - 1 AS node FROM nodes)"
+_TYPES = f"list_position({list(graph.EDGE_SCHEMA)}, edge_type) - 1 AS type_code"
+
+
+@query(f"""SELECT s.node AS src_node, d.node AS dst_node, {_TYPES}, weight FROM (SELECT src, dst, edge_type, weight FROM edges UNION ALL SELECT dst, src, edge_type, weight FROM edges) JOIN {_NUMBERED} s ON src = s.id JOIN {_NUMBERED} d ON dst = d.id""")
+def encoded_directions(spark, folder):
+    """Every edge by the numbers of its ends, in both directions."""
+    rows, facts, _ = core(spark, folder)
+    nodes = materialize(casework.encoded_nodes(graph.nodes(market.bid_feed(spark, folder), rows)), "encoded")
+    return casework.both_directions(casework.encoded_edges(graph.edges(rows, N.counted(facts)), nodes, tuple(graph.EDGE_SCHEMA)))
+
+
+_KINDS = ("Company", "Person", "Tender", "Address", "Department")
+
+
+@query(f"""WITH degree AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)
+  SELECT n.id, node, list_concat(list_transform({list(_KINDS)}, lambda k: CAST(k = node_type AS INTEGER)::DOUBLE), CASE WHEN company IS NOT NULL THEN [{", ".join(f"round({c}::DOUBLE, 4)" for c in PARTITIONED)}]
+    ELSE list_concat([round(coalesce(d, 0) / (SELECT max(d) FROM degree), 4)::DOUBLE], [{", ".join(["0.0::DOUBLE"] * (len(PARTITIONED) - 1))}]) END) AS x
+  FROM {_NUMBERED} n LEFT JOIN degree g ON n.id = g.id LEFT JOIN part_features f ON f.company = n.id""")
+def encoded_blocks(spark, folder):
+    """Each node's type and block of features, by the features that SQL has too."""
+    parts = core(spark, folder)
+    nodes = materialize(casework.encoded_nodes(graph.nodes(market.bid_feed(spark, folder), parts[0])), "encoded")
+    blocks = casework.node_blocks(nodes, graph.edges(parts[0], N.counted(parts[1])), of_partition(spark, folder, parts), PARTITIONED)
+    return blocks.select("id", "node", F.transform("x", lambda v: F.round(v, 4)).alias("x"))

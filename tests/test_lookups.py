@@ -13,7 +13,7 @@ from bidgraph.operators import features, model, pairs, portfolio
 from bidgraph.operators.neighbourhood import neighbours_within
 from bidgraph.plans import analysis_queries, registry
 
-NAMES = "neighbours_within_1 neighbours_within_2 neighbours_within_3 pair_tenders degree_centrality_cutoff exact_split award_lifecycle signal_trend company_details tender_profiles resolve_tender_lookup document_signatures pagerank_rounds eigenvector_rounds".split()
+NAMES = "neighbours_within_1 neighbours_within_2 neighbours_within_3 pair_tenders degree_centrality_cutoff exact_split award_lifecycle signal_trend company_details tender_profiles resolve_tender_lookup document_signatures pagerank_rounds eigenvector_rounds node_aliases encoded_directions encoded_blocks".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
