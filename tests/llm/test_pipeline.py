@@ -1,5 +1,7 @@
 """The pipeline's stages on planted rows, and its columns."""
 
+import random
+
 import corpus_pipeline as P
 from pyspark.sql import functions as F
 
@@ -33,3 +35,22 @@ def test_run(spark):
     out = P.run(spark, BENCH)
     ids = {r.doc_id for r in out.select("doc_id").collect()}
     assert 100 < len(ids) <= 200
+
+
+def test_near_copies_above_the_similarity_go_and_others_stay(spark, sf):
+    """Copies with a few words changed: of all pairs that share 80 % of their five-word shingles one stays, and only of these."""
+    rng = random.Random(11)
+    shingles = lambda words: {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    rows, gone = [], set()
+    for k in range(80):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 300))]
+        other = list(base)
+        for _ in range(rng.randint(1, 6)):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(5000)}"
+        one, two = shingles(base), shingles(other)
+        rows += [(2 * k, " ".join(base), "en", "s", 1), (2 * k + 1, " ".join(other), "en", "s", 1)]
+        if 100 * len(one & two) >= 80 * len(one | two):
+            gone.add(2 * k + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.near_dedup(spark, docs, sf).collect()}
+    assert kept == {r[0] for r in rows} - gone and 20 < len(gone) < 70
