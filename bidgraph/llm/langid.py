@@ -8,7 +8,8 @@ losses are close are flagged as ambiguous.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; rows without a
 language are not learnt from; with no language learnt every text is ``und``, with one every text
-with a letter has it; rows that repeat count again when learning; other columns are kept.
+with a letter has it; rows that repeat count again when learning; texts of any
+length are read whole; of codewords equally near the first language by name is taken; other columns are kept.
 """
 
 from __future__ import annotations

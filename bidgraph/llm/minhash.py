@@ -17,7 +17,8 @@ Plan
 
 Defined cases: a null text counts as empty; empty sets are linked with nothing; rows with a null
 id are never linked and get a null component; rows that repeat an id are one document that has
-the links of all its rows; an empty table gives an empty result.  Other columns are not read.
+the links of all its rows; the smallest id of a component stays, so there are no ties; texts of any
+length are shingled whole; an empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations

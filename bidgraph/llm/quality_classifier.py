@@ -9,7 +9,7 @@ a hash of ids.  Inputs of a score are statistics of the text alone.
 
 Defined cases: a null text counts as empty and gets the score of zero counts; with labels of one
 class only, or none, every text gets the share of label 1 (0.5 without labels); rows that repeat
-are scored each; other columns are kept.
+are scored each, and equal texts alike; texts of any length are read whole; other columns are kept.
 """
 
 from __future__ import annotations

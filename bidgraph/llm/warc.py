@@ -13,7 +13,8 @@ its own name or by that of Spark's connector (``SCHEMES``).
 Defined cases: a null payload counts as empty; a null URL is stored as an empty target; payloads
 under ``min_revisit`` bytes are always responses; rows with a null id are responses that nothing
 refers to; rows that repeat an id are stored each, and of equal payloads one row of the smallest
-id is the response; an empty table writes no archive and reads as no rows.  A broken digest or
+id is the response (ties by URL); a long payload is one record and is held whole by the task that
+writes or reads it; only the three named columns are read, so others may bear any name; an empty table writes no archive and reads as no rows.  A broken digest or
 frame raises ValueError.
 """
 
