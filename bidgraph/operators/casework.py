@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bidgraph.functions.clean import mask_account, mask_phone
 from bidgraph.operators.portfolio import lowest_bids, portfolio_band, signal_label
+from bidgraph.plans.storage import materialize
 
 TOP_CODES = 4
 
@@ -213,7 +214,8 @@ def encoded_nodes(nodes: DataFrame, kinds: tuple[str, ...] = ("Company", "Person
 def encoded_edges(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """(src_node, dst_node, type_code, weight) by the numbers of ``encoded_nodes``."""
     at = nodes.select("id", "node")
-    rows = edges.join(at.withColumnsRenamed({"id": "src", "node": "src_node"}), "src").join(at.withColumnsRenamed({"id": "dst", "node": "dst_node"}), "dst")
+    rows = materialize(edges.join(at.withColumnsRenamed({"id": "src", "node": "src_node"}), "src").drop("src"), "encoded-sources")
+    rows = rows.join(at.withColumnsRenamed({"id": "dst", "node": "dst_node"}), "dst")
     code = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("edge_type")) - 1
     return rows.select("src_node", "dst_node", code.cast("int").alias("type_code"), "weight")
 
@@ -230,6 +232,7 @@ def node_blocks(encoded: DataFrame, edges: DataFrame, features: DataFrame, colum
     counted, as a share of the largest in the first place and zeros behind it.
     """
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+    ends = materialize(ends, "degrees")
     most = ends.agg(F.greatest(F.coalesce(F.max("degree"), F.lit(1)), F.lit(1)).alias("most")).withColumn("one", F.lit(1))
     block = F.array(*[F.col(c).cast("double") for c in columns])
     rows = encoded.join(ends, "id", "left").join(features.select(F.col("company").alias("id"), block.alias("block")), "id", "left").withColumn("one", F.lit(1)).join(most, "one")
