@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from bidgraph.operators import casework, graph, identity, networks, portfolio, views
 from bidgraph.plans import portfolio_queries as P
-from bidgraph.plans.risk_queries import _edges, core, scored
+from bidgraph.plans.risk_queries import _edges, core, core_and_nodes, scored
 from bidgraph.plans.sql import CTE, with_tables
 from bidgraph.plans.storage import materialize
 from bidgraph.sources import market
@@ -158,8 +158,7 @@ def _stored(rows, key: str):
 @query("SELECT id, node_type, CASE WHEN right(id, 1) < '4' THEN 'was ' || display ELSE display END AS display FROM nodes")
 def merged_nodes(spark, folder):
     """A stored graph's nodes after a later graph is merged into it."""
-    parts = core(spark, folder)
-    earlier, later = _stored(materialize(graph.nodes(market.bid_feed(spark, folder), parts[0]), "nodes"), "id")
+    earlier, later = _stored(core_and_nodes(spark, folder)[1], "id")
     return casework.merged(earlier.withColumn("display", F.concat(F.lit("was "), "display")), later, ["id"])
 
 
@@ -174,15 +173,14 @@ _KINDS = ("Company", "Person", "Tender", "Address", "Department")
 
 @query(f"""SELECT id, row_number() OVER (ORDER BY id, node_type) - 1 AS node, list_position({list(_KINDS)}, node_type) - 1 AS type_code, list_transform({list(_KINDS)}, lambda k: CAST(k = node_type AS INTEGER)) AS one_hot FROM nodes""")
 def encoded_nodes(spark, folder):
-    parts = core(spark, folder)
-    return casework.encoded_nodes(graph.nodes(market.bid_feed(spark, folder), parts[0]), _KINDS)
+    return casework.encoded_nodes(core_and_nodes(spark, folder)[1], _KINDS)
 
 
 @query(f"""SELECT s.node AS src_node, d.node AS dst_node, list_position({list(graph.EDGE_SCHEMA)}, edge_type) - 1 AS type_code, weight FROM edges
   JOIN (SELECT id, row_number() OVER (ORDER BY id, node_type) - 1 AS node FROM nodes) s ON src = s.id JOIN (SELECT id, row_number() OVER (ORDER BY id, node_type) - 1 AS node FROM nodes) d ON dst = d.id""")
 def encoded_edges(spark, folder):
-    parts = core(spark, folder)
-    nodes = materialize(casework.encoded_nodes(graph.nodes(market.bid_feed(spark, folder), parts[0]), _KINDS), "encoded")
+    parts, nodes = core_and_nodes(spark, folder)
+    nodes = materialize(casework.encoded_nodes(nodes, _KINDS).select("id", "node"), "encoded")
     return casework.encoded_edges(_edges(parts), nodes, tuple(graph.EDGE_SCHEMA))
 
 

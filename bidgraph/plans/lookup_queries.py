@@ -8,7 +8,7 @@ from bidgraph.operators import features, graph, model, networks, pairs, portfoli
 from bidgraph.operators.neighbourhood import neighbours_within
 from bidgraph.plans import network_queries
 from bidgraph.plans.portfolio_queries import bidder_scores
-from bidgraph.plans.risk_queries import SETTINGS, core
+from bidgraph.plans.risk_queries import SETTINGS, core, counted
 from bidgraph.plans.sql import with_tables
 from bidgraph.plans.storage import materialize
 from bidgraph.plans.tables import table
@@ -38,7 +38,8 @@ def _neighbours(depth: int):
 
     def neighbours(spark, folder):
         rows, facts, _ = core(spark, folder)
-        edges = materialize(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts))), "edges")
+        edges = graph.edges(rows, counted(facts), facts).select("src", "dst")
+        edges = edges if depth == 1 else materialize(edges, "edges")
         seeds = facts.where(F.col("tender").rlike("^T_T.*00$")).select(F.col("tender").alias("id"))
         return neighbours_within(edges, seeds, depth)
 
@@ -61,7 +62,7 @@ def pair_tenders(spark, folder):
 def degree_centrality_cutoff(spark, folder):
     """The cutoff of high centrality, over the degree centrality of companies in the graph of all nodes."""
     parts = core(spark, folder)
-    degrees = networks.degrees(network_queries.undirected(spark, folder, parts)).join(network_queries.companies(parts[1]), "id")
+    degrees = networks.degrees(network_queries.links(spark, folder, parts)).join(network_queries.companies(parts[1]), "id")
     return features.percentile_threshold(degrees, "degree_centrality", SETTINGS.high_degree_percentile).select(F.round("cutoff", 6).alias("cutoff"))
 
 

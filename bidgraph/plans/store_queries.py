@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bidgraph.operators import graph, incremental, pairs
-from bidgraph.plans.risk_queries import core, r4
+from bidgraph.operators import graph, incremental
+from bidgraph.plans.risk_queries import core, core_and_nodes, counted, r4
 from bidgraph.plans.sql import with_tables
-from bidgraph.plans.storage import materialize, new_path
-from bidgraph.sources import market
+from bidgraph.plans.storage import discard, materialize, new_path
 from bidgraph.sources.store import Store, merged_attributes
 
 QUERIES: dict = {}
@@ -29,15 +28,17 @@ def persisted(spark, keys: list[str], loads):
     """The table that loads leave in a store; the last one comes twice."""
     store = Store(spark, new_path(spark, "graph"), keys)
     for number, rows in enumerate([*loads, loads[-1]]):
-        store.commit(materialize(rows, "load"), merged_attributes(keys), ("loads", min(number, len(loads) - 1)))
-    store.tidy()
+        load = materialize(rows, "load")
+        store.commit(load, merged_attributes(keys), ("loads", min(number, len(loads) - 1)))
+        store.tidy()
+        discard(spark, load)
     return store.read()
 
 
 @query("""SELECT id, node_type, CASE WHEN right(id, 1) < '4' OR node_type = 'Address' AND right(id, 1) <= '7' THEN 'was ' || display ELSE display END AS display, CASE WHEN right(id, 1) <= '7' THEN 1 END AS load FROM nodes""")
 def persisted_nodes(spark, folder):
     """Nodes of two overlapping graphs: given attributes replace stored ones, absent ones stay; the later graph lacks the names of addresses."""
-    nodes = materialize(graph.nodes(market.bid_feed(spark, folder), core(spark, folder)[0]), "nodes")
+    nodes = core_and_nodes(spark, folder)[1]
     last = F.substring("id", -1, 1)
     earlier = nodes.where(last <= "7").withColumns({"display": F.concat(F.lit("was "), "display"), "load": F.lit(1)})
     later = nodes.where(last >= "4")
@@ -48,7 +49,7 @@ def persisted_nodes(spark, folder):
 @query("SELECT src, dst, edge_type, CASE WHEN right(src, 1) < '4' THEN weight + 1 ELSE weight END AS weight FROM edges")
 def persisted_edges(spark, folder):
     rows, facts, _ = core(spark, folder)
-    edges = materialize(graph.edges(rows, pairs.cobid_pairs(pairs.pair_rows(facts))), "edges")
+    edges = materialize(graph.edges(rows, counted(facts), facts), "edges")
     last = F.substring("src", -1, 1)
     return persisted(spark, ["src", "dst", "edge_type"], [edges.where(last <= "7").withColumn("weight", F.col("weight") + 1), edges.where(last >= "4")])
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bidgraph.plans.storage import shuffles_deleted
+
 BUCKETS = 64
 
 
@@ -99,7 +101,8 @@ class Store:
         if of:
             rows = merge(self.read(new.schema, of, held), new)
             name = f"data/{uuid.uuid4().hex}"
-            rows.withColumn("_bucket", self.bucket()).hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{name}")
+            with shuffles_deleted(self.spark):
+                rows.withColumn("_bucket", self.bucket()).hint("rebalance", "_bucket").write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.path}/{name}")
             written = {n.split("=")[1]: f"{name}/{n}" for n in self._folder.names(name) if n.startswith("_bucket=")}
             at = {b: where for b, where in held["at"].items() if int(b) not in set(of)} | written
             held |= {"at": at, "schema": json.loads(rows.schema.json())}
