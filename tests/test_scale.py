@@ -101,3 +101,13 @@ def test_undirected_edges_of_the_tables_are_those_of_the_edges(spark):
 def test_documents_are_paired_where_two_filed_them(spark):
     filed = spark.createDataFrame([("T1", "C1", "x"), ("T1", "C2", "x"), ("T1", "C2", "x"), ("T1", "C3", "y"), ("T2", "C1", "x"), ("T2", "C2", "x"), ("T2", "C1", "z"), ("T2", "C2", "z"), ("T3", "C1", "y"), ("T3", None, "y")], "tender string, company string, hash string")
     assert [tuple(r) for r in pairs.document_pairs(filed).collect()] == [("C1", "C2", 2)]
+
+
+def test_pairs_are_counted_by_numbers(spark, monkeypatch):
+    rows = market_of(spark)
+    facts = materialize(graph.bid_facts(rows).unionByName(graph.bid_facts(rows.where("company = 'C_01'")).withColumn("company", F.lit(None).cast("string"))))
+    kinds, made = [], pairs.pair_rows
+    want = sorted(map(tuple, pairs.cobid_pairs(made(facts)).collect()))
+    monkeypatch.setattr(pairs, "pair_rows", lambda f: kinds.append(dict(f.dtypes)["company"]) or made(f))
+    got = sorted(map(tuple, risk_queries.counted(facts).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(got, want)) and kinds == ["bigint"]
